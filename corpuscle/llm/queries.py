@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, linededup, packing, simhash
+from corpuscle.llm import bpe, linededup, packing, secret_scan, simhash
 from corpuscle.llm.common import table
 
 #: Folder of the public vocabulary files; every operator takes the path as a parameter.
@@ -16,6 +16,13 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORD_BPE = os.path.join(TOKENIZERS, "word_bpe_49k.json")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_samples(table(spark, sf_dir, "benchmark")))
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.spelled(F.col("_base")), 256).alias("base_sha256"), secret_scan.spelled(F.col("_spans")).alias("spans"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_BPE).withColumnRenamed("id", "doc_id")
 
@@ -33,5 +40,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_bpe, op6_packing, op9_line_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_bpe, op6_packing, op9_line_dedup, op10_simhash)}
 ORACLES: dict[str, str] = {"op9_line_dedup": linededup.ORACLE_SQL}
