@@ -8,14 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, linededup, packing, secret_scan, simhash
+from corpuscle.llm import bpe, chat, linededup, packing, secret_scan, simhash, topk
 from corpuscle.llm.common import table
 
 #: Folder of the public vocabulary files; every operator takes the path as a parameter.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 WORD_BPE = os.path.join(TOKENIZERS, "word_bpe_49k.json")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    rows = rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("vector"))
+    return topk.top_k(rows.where("id % 20 = 0"), rows).withColumnRenamed("id", "vec_id")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train(secret_scan.labelled_samples(table(spark, sf_dir, "benchmark")))
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -31,6 +38,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE).withColumnRenamed("id", "doc_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_turns(rows.unionByName(extra), BYTE_BPE), BYTE_BPE).withColumnRenamed("conv", "conv_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "_lines.*", "text")
 
@@ -40,5 +54,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_bpe, op6_packing, op9_line_dedup, op10_simhash)}
-ORACLES: dict[str, str] = {"op9_line_dedup": linededup.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op3_secrets, op4_bpe, op6_packing, op7_chat, op9_line_dedup, op10_simhash)}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL}
