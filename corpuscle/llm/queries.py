@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, chat, linededup, packing, secret_scan, simhash, topk
-from corpuscle.llm.common import table
+from corpuscle.llm import bpe, chat, langid, linededup, packing, quality, secret_scan, simhash, topk
+from corpuscle.llm.common import fold, table
 
 #: Folder of the public vocabulary files; every operator takes the path as a parameter.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -23,6 +23,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.where("id % 20 = 0"), rows).withColumnRenamed("id", "vec_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, own = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), own != 1)
+    found = quality.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (own == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train(secret_scan.labelled_samples(table(spark, sf_dir, "benchmark")))
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -34,6 +41,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_BPE).withColumnRenamed("id", "doc_id")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, own = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4)
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs, own != 2))
+    return found.select("doc_id", (own == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE).withColumnRenamed("id", "doc_id")
 
@@ -54,5 +67,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op3_secrets, op4_bpe, op6_packing, op7_chat, op9_line_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_secrets, op4_bpe, op5_language, op6_packing, op7_chat, op9_line_dedup, op10_simhash)}
 ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL}
