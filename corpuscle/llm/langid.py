@@ -213,4 +213,5 @@ def identify(docs: DataFrame, model, text_column: str = "text") -> DataFrame:
 
 def filter_languages(docs: DataFrame, model, text_column: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is known with a score of at least `least`."""
-    return identify(docs, model, text_column).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_column).cast("string").alias("text"))
+    return identify(rows, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select("row.*")

@@ -44,12 +44,12 @@ def boilerplate(pages: DataFrame, text_column: str, host_column: str, ratio: flo
     return lines.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", F.struct("h1", "h2").alias("line"))
 
 
-def drop_boilerplate(pages: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The input with boilerplate lines gone from its text, and struct column _lines(host, n_lines, n_dropped)."""
+def drop_boilerplate(pages: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, details: bool = True) -> DataFrame:
+    """The input with boilerplate lines gone from its text, and with details a column _lines(host, n_lines, n_dropped)."""
     names = pages.columns
     found = cut(boilerplate(pages, text_column, host_column, ratio, min_pages))
     text = F.col(text_column).cast("string")
-    rows = pages.select(F.struct(*names).alias("row"), F.coalesce(F.col(host_column).cast("string"), F.lit("")).alias("host"), F.col(id_column).alias("id"), text.alias("text"))
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(host_column).cast("string"), F.lit("")).alias("host"), F.col(id_column).alias("id"), text.alias("text"))
     if found.count() <= BROADCAST_ROWS:
         bad = found.groupBy("host").agg(F.collect_list("line").alias("bad"))
         rows = rows.join(F.broadcast(bad), "host", "left")
@@ -63,7 +63,7 @@ def drop_boilerplate(pages: DataFrame, id_column: str = "doc_id", text_column: s
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("text"))))
     n_kept = F.when(F.col("kept").isNull(), n_lines).otherwise(F.size("kept"))
     info = F.struct("host", n_lines.cast("bigint").alias("n_lines"), (n_lines - n_kept).cast("bigint").alias("n_dropped"))
-    return rows.select(*(whole.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in names), info.alias("_lines"))
+    return rows.select(*(whole.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in names), *([info.alias("_lines")] if details else []))
 
 
 ORACLE_SQL = f"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, chat, langid, linededup, packing, quality, secret_scan, simhash, topk
+from corpuscle.llm import bpe, chat, langid, linededup, neardup, packing, quality, secret_scan, simhash, topk
 from corpuscle.llm.common import fold, table
 
 #: Folder of the public vocabulary files; every operator takes the path as a parameter.
@@ -58,6 +58,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(extra), BYTE_BPE), BYTE_BPE).withColumnRenamed("conv", "conv_id")
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "_lines.*", "text")
 
@@ -67,5 +72,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_secrets, op4_bpe, op5_language, op6_packing, op7_chat, op9_line_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_secrets, op4_bpe, op5_language, op6_packing, op7_chat, op8_neardup, op9_line_dedup, op10_simhash)}
 ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL}

@@ -153,3 +153,10 @@ def redact(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(F.transform(before, lambda x: F.concat(x, F.lit(PLACEHOLDER))), ""), F.substr(text, F.element_at(m, -1)["end"] + 1))
 
     return F.when(F.size(spans) > 0, let(merged, rebuilt)).otherwise(text)
+
+
+def redacted(docs: DataFrame, model: list[float], text_column: str = "text") -> DataFrame:
+    """The input with every secret in its text replaced by the placeholder; a null text stays null."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_column).cast("string").alias("text"))
+    clean = redact(F.col("text"), F.col("_spans"))
+    return scan(rows, model).select(*((clean if c == text_column else F.col("row")[c]).alias(c) for c in docs.columns))
