@@ -119,6 +119,8 @@ class Predictor:
 
     def __init__(self, packed):
         self.languages, weights = packed
+        if not weights:
+            return
         w = {k: np.frombuffer(data, "<f8").reshape(shape) for k, shape, data in weights}
         taps = {n: [w["embedding"] @ w[f"kernel{n}"][j] for j in range(n)] for n in WIDTHS}
         pair = lambda a, b: (b[:, None] + a[None]).reshape(65536, -1).astype(np.float32)  # noqa: E731  index: first byte + 256 * second

@@ -68,7 +68,7 @@ def train(samples: DataFrame) -> list[float]:
     chars = spark.range(1, n + 1).selectExpr("cast(id as int) i").withColumn("c", classed)
     sizes = chars.groupBy("c").agg(F.count("*").alias("size"))
     places = F.transform(F.split("text", ""), lambda x: F.instr(F.lit(ALPHABET), x))
-    pairs = samples.select("random", places.alias("p")).select("random", F.expr("explode(transform(filter(sequence(1, size(p) - 1), k -> k < size(p)), k -> struct(p[k - 1] a, p[k] b)))").alias("x"))
+    pairs = samples.select("random", places.alias("p")).where("size(p) > 1").select("random", F.expr("explode(transform(sequence(1, size(p) - 1), k -> struct(p[k - 1] a, p[k] b)))").alias("x"))
     counts = pairs.select("random", "x.a", "x.b").where("a > 0 and b > 0").groupBy("random", "a", "b").agg(F.count("*").alias("n"))
     a, b = chars.select(F.col("i").alias("a"), F.col("c").alias("ca")), chars.select(F.col("i").alias("b"), F.col("c").alias("cb"))
     grid = F.broadcast(spark.createDataFrame([(True,), (False,)], "random boolean")).crossJoin(a).crossJoin(b)
