@@ -1,0 +1,37 @@
+"""Every registered plan against its DuckDB equivalent on the smallest tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_point
+from corpuscle import plans
+
+BASE = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS FROM '{BASE}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
+def test_plan(spark, con, name):
+    want = con.sql(plans.ORACLES[name])
+    got = plans.QUERIES[name](spark, BASE)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_entry(spark):
+    assert entry_point.entry(spark).count() > 0
+    assert set(plans.QUERIES) <= set(entry_point.queries()) and set(plans.ORACLES) <= set(entry_point.oracle_sql())
+
+
+def test_budget_receipts_cover_every_candidate(spark):
+    rows = plans.QUERIES["budget_greedy"](spark, BASE)
+    assert rows.count() == spark.read.parquet(f"{BASE}/documents.parquet").count()
+    assert rows.agg({"spent": "max"}).first()[0] <= 20000
