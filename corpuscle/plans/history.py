@@ -134,7 +134,7 @@ def last_ten_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tail.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), (F.avg("value") >= 50).alias("passed"))
 
 
-@query("AGG17 AGG23", "SELECT event_type, user_id, count(*) AS n, least(0.95, 0.5 + 0.05 * count(*)) AS confidence FROM events GROUP BY event_type, user_id QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) <= 5")
+@query("AGG17 AGG23", "SELECT event_type, user_id, count(*) AS n, CAST(least(0.95, 0.5 + 0.05 * count(*)) AS DOUBLE) AS confidence FROM events GROUP BY event_type, user_id QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) <= 5")
 def frequent_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
     return rel.top_per_group(counts, ["event_type"], [F.desc("n"), F.col("user_id")], 5).select("event_type", "user_id", "n", F.least(F.lit(0.95), 0.5 + 0.05 * F.col("n")).alias("confidence"))
