@@ -194,3 +194,14 @@ def declared_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     keys = part.groupBy("p_name").agg(F.min("p_partkey").alias("owner"), F.count("*").alias("n")).where("n = 1").drop("n")
     return part.join(keys, "p_name", "left").select("p_partkey", "owner")
+
+
+@query("RNK18")
+def pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From scan to receipts: buckets, ordered score, greedy selection and the tokens of each action, for every source."""
+    from corpuscle.plans.corpus import bucketed, scored
+
+    open_files = bucketed(spark, sf_dir).where("bucket = 'packable'").select("doc_id")
+    rows = scored(spark, sf_dir).select("doc_id", "source", "tokens", "score").join(open_files, "doc_id")
+    receipts = selection.greedy_budget(rows, "source", "doc_id", "score", "tokens", 20000)
+    return receipts.join(rows.select("doc_id", "tokens"), "doc_id").groupBy("source", "action").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))

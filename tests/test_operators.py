@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.functions import classify, text
-from corpuscle.operators import graph, selection
+from corpuscle.operators import extensions, graph, selection
 from corpuscle.operators import relational as rel
 from corpuscle.sources import readers, sinks, symbols
 from corpuscle.streaming import events
@@ -143,6 +143,20 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/snap").count() == 6
 
 
+def test_extensions(spark, tmp_path):
+    df = spark.createDataFrame([(1, "yes"), (2, "no"), (2, "no")], "id long, v string")
+    script = tmp_path / "judge.py"
+    script.write_text("import sys, json\nfor x in sys.stdin:\n    print(json.dumps({'verdict': json.loads(x)['value'].upper()}))\n")
+    assert sorted(r.verdict for r in extensions.command_judge(df, ["python3", str(script)], "id", "v").collect()) == ["NO", "NO", "YES"]
+    assert {r.verdict for r in extensions.command_judge(df, ["false"], "id", "v").collect()} == {"error"}
+    for name, write in extensions.WRITERS.items():
+        write(df, f"{tmp_path}/{name}")
+    assert extensions.project_index(spark, [f"{tmp_path}/parquet", f"{tmp_path}/absent"], "id long, v string").count() == 3
+    assert extensions.golden_compare(df, df).count() == 0
+    assert {r.side: r.n for r in extensions.golden_compare(df, df.distinct()).collect()} == {"extra": 1}
+    assert one(spark, extensions.trigger_phrases(F.lit("fix-tests"), F.lit('Use when tests fail. Say "red build".'))) == ["fix tests", "red build", "tests fail"]
+
+
 @pytest.fixture
 def event_folder(spark, tmp_path):
     rows = [(i, f"2024-01-0{1 + i // 10} 00:{i % 10 * 5:02d}:00", i % 2, "error" if i % 4 < 2 else "view", 1.0) for i in range(40)]
