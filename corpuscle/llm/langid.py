@@ -11,7 +11,7 @@ convolution is one or two look-ups; windows of many documents go side by side,
 a position at a time, so a batch takes a fixed amount of memory.
 
 Fitting uses at most FIT_DOCS texts of each language and FIT_WINDOWS windows,
-spread evenly, of each text. The counts behind the sampling cover all rows.
+spread evenly, of each text; only those windows reach the driver. The counts behind the sampling cover all rows.
 
 Defined results: a text that is null or has no letter is `und`, score 0; rows
 with a null text or lang teach nothing; without any label every text is `und`;
@@ -36,7 +36,7 @@ WINDOW, EMBEDDING, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 FIT_DOCS, FIT_WINDOWS, EPOCHS, BATCH, RATE, SEED = 600, 6, 8, 64, 0.01, 7
 UNKNOWN = "und"
 #: Least score of a document that filter_languages() keeps.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 #: Windows that are convolved side by side.
 SIDE = 1024
 
@@ -186,14 +186,15 @@ def train(docs: DataFrame, keep: Column, id_column: str = "doc_id", text_column:
         return (), ()
     most = docs.sparkSession.createDataFrame([(c, int(1e6 * min(1.0, FIT_DOCS / n))) for c, n in counts.items()], "lang string, share int")
     drawn = rows.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share"))
-    sample = sorted((r["lang"], str(r["id"]), r["text"]) for r in drawn.select("lang", "id", "text").toLocalIterator())
+    # pieces of WINDOW characters spread evenly over the text, so that the sample is bounded in bytes too
+    pieces = F.expr(f"transform(sequence(0, least({FIT_WINDOWS}, ceil(length(text) / {WINDOW})) - 1), i -> substring(text, cast(1 + i * (length(text) / least({FIT_WINDOWS}, ceil(length(text) / {WINDOW}))) as int), {WINDOW}))")
+    sample = sorted((r["lang"], str(r["id"]), r["pieces"]) for r in drawn.where("text <> ''").select("lang", "id", pieces.alias("pieces")).collect())
     x, y, taken = [], [], dict.fromkeys(languages, 0)
-    for lang, _, text in sample:
-        if taken[lang] < FIT_DOCS and _LETTER.search(text):
+    for lang, _, own in sample:
+        own = [windows(p)[:1] for p in own if _LETTER.search(p)]
+        if own and taken[lang] < FIT_DOCS:
             taken[lang] += 1
-            own = windows(text)
-            own = own[np.unique(np.linspace(0, len(own) - 1, min(FIT_WINDOWS, len(own))).astype(int))]
-            x.append(own)
+            x += own
             y += [languages.index(lang)] * len(own)
     if not x:
         return (), ()

@@ -35,6 +35,8 @@ from corpuscle.llm.common import map_batches
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 17, 8, (3, 4)
 FIT_DOCS, FIT_WORDS, EPOCHS, RATE, SEED = 1500, 400, 12, 2.0, 11
+#: A longer text is fitted on this many characters of it, in so many pieces.
+FIT_CHARS, FIT_PIECES = 20_000, 20
 #: Words remembered per Python worker, and the longest one remembered.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 64
 #: The feature of a word that repeats the one before it.
@@ -121,8 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, id_column: str = "do
     """The model learned from labels whose rows keep holds for."""
     known = labels.where(keep & F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
     drawn = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(FIT_DOCS) for c in (0, 1)]
-    sample = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
-    rows = sorted((str(r["id"]), r["label"], r["text"] or "") for r in sample.toLocalIterator())
+    # of a very long text, pieces spread evenly, so that the sample is bounded in bytes too
+    text = F.col(text_column).cast("string")
+    pieces = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(FIT_PIECES - 1)), lambda i: F.substr(text, (1 + i * F.length(text) / FIT_PIECES).cast("int"), F.lit(FIT_CHARS // FIT_PIECES))), " ")
+    sample = docs.select(F.col(id_column).alias("id"), F.when(F.length(text) > FIT_CHARS, pieces).otherwise(text).alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
+    rows = sorted((str(r["id"]), r["label"], r["text"] or "") for r in sample.collect())
     return fit([t for _, _, t in rows], [c for _, c, _ in rows])
 
 
