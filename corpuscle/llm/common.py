@@ -45,3 +45,19 @@ def fold(id_column: Column, folds: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A key with more than 1/HOT of all rows is joined by broadcast: at most HOT such keys exist.
+HOT = 10_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows inner-joined with facts, one per key; weight is the key's number of rows, total that of all rows.
+
+    Heavy keys, of which there are at most HOT, never move: their facts go to every
+    task. The rest is a shuffle join in which no key holds more than 1/HOT of the rows.
+    """
+    heavy = facts.where(F.col(weight) > total / HOT)
+    light = facts.where(F.col(weight) <= total / HOT).drop(weight)
+    moved = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return rows.join(F.broadcast(heavy.drop(weight)), keys).unionByName(moved)

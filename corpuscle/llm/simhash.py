@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, map_batches
+from corpuscle.llm.common import cut, join_facts, map_batches
 from corpuscle.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -97,13 +97,13 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links."""
     rows = cut(fingerprints(docs, id_column, text_column))
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     roots = components(links(classes)).withColumnRenamed("node", "fp")
     joined = classes.join(roots, "fp")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     linked = joined.join(least, "root").select("fp", "least")
-    component = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
-    return rows.join(component, "fp").select("id", "fp", "component")
+    component = cut(classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component")))
+    return join_facts(rows, component, ["fp"], "n", rows.count()).select("id", "fp", "component")
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
