@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut, map_batches
+from corpuscle.llm.common import cut, join_facts, map_batches
 from corpuscle.llm.components import components
 
 COSINE = 0.93
@@ -56,13 +56,18 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """(node, label, vector, weight, first) of the distinct usable unit vectors of (id, label, vector array<double>)."""
+def usable(rows: DataFrame) -> DataFrame:
+    """The rows of (id, label, vector array<double>) that can link, with their vectors' norms."""
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    usable = rows.where(F.col("label").isNotNull() & (F.size("vector") > 0) & ~F.coalesce(bad, F.lit(True))).where((norm > 0) & (norm < float("inf")))
-    found = usable.groupBy("label", "vector").agg(F.count("*").alias("weight"), F.min("id").alias("first"))
-    return cut(found.withColumn("node", F.monotonically_increasing_id()).withColumn("unit", F.expr("transform(vector, x -> x / sqrt(aggregate(vector, 0D, (a, y) -> a + y * y)))")).withColumn("dims", F.size("vector")))
+    fit = F.col("label").isNotNull() & (F.size("vector") > 0) & ~F.coalesce(bad, F.lit(True))
+    return rows.withColumn("norm", F.when(fit, norm)).withColumn("ok", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
+
+
+def nodes(rows: DataFrame) -> DataFrame:
+    """(node, label, vector, weight, first, unit, dims) of the distinct vectors of usable rows."""
+    found = rows.where("ok").groupBy("label", "vector", "norm").agg(F.count("*").alias("weight"), F.min("id").alias("first"))
+    return cut(found.withColumn("node", F.monotonically_increasing_id()).withColumn("unit", F.expr("transform(vector, x -> x / norm)")).withColumn("dims", F.size("vector")).drop("norm"))
 
 
 def centroids(found: DataFrame) -> dict[tuple[str, int], np.ndarray]:
@@ -75,7 +80,7 @@ def centroids(found: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     keys = found.sparkSession.createDataFrame([(str(r["label"]), r["dims"]) for r in big], "key string, dims int")
     drawn = found.withColumn("key", F.col("label").cast("string")).join(F.broadcast(keys), ["key", "dims"]).where(F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < int(share * 1e6))
     groups: dict[tuple[str, int], list] = {}
-    for r in drawn.select("key", "dims", "unit").toLocalIterator():
+    for r in drawn.select("key", "dims", "unit").collect():
         groups.setdefault((r["key"], r["dims"]), []).append(r["unit"])
     sizes = {(str(r["label"]), r["dims"]): r["count"] for r in big}
     out = {}
@@ -114,8 +119,8 @@ def deal(found: DataFrame, centres: dict, overlap: int) -> DataFrame:
 
     cells = map_batches(found.select("node", key.alias("key"), "unit"), run, "node bigint, place int, cell int")
     placed = cut(found.withColumn("key", key).join(cells, "node"))
-    subs = placed.groupBy("key", "cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("subs"))
-    return placed.join(subs, ["key", "cell"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
+    subs = placed.groupBy("key", "cell").agg(F.count("*").alias("in_cell"), F.ceil(F.count("*") / SHARD).cast("int").alias("subs"))
+    return join_facts(placed, subs, ["key", "cell"], "in_cell", placed.count()).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
 
 
 def balls(dealt: DataFrame) -> DataFrame:
@@ -173,7 +178,12 @@ def graph(shard: pd.DataFrame) -> pd.DataFrame:
     a, b = np.repeat(np.arange(len(ids)), out.shape[1]), out.ravel()
     a, b = a[b >= 0], b[b >= 0]
     medoid = int(s.sum(axis=1).argmax())
-    a, b = np.r_[a, b], np.r_[b, a]
+    # of the edges that come back, a node keeps the DEGREE nearest, so hubs stay small
+    order = np.lexsort((a, -s[b, a], b))
+    turned = b[order]
+    rank = np.arange(len(turned)) - np.searchsorted(turned, turned)
+    back = order[rank < DEGREE]
+    a, b = np.r_[a, b[back]], np.r_[b, a[back]]
     reached, front = np.zeros(len(ids), bool), np.array([medoid])
     while True:
         reached[front] = True
@@ -318,7 +328,7 @@ def audit(leaders: DataFrame, found: DataFrame) -> float:
     return row["hit"] / row["n"] if row["n"] else 1.0
 
 
-def _members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _members(pairs: DataFrame, members: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
     """(node, n, a, b): links of members of undecided ball pairs, counted in blocks."""
 
     def pack(own: pd.DataFrame) -> pd.DataFrame:
@@ -326,8 +336,8 @@ def _members(pairs: DataFrame, members: DataFrame) -> DataFrame:
         return pd.DataFrame({"ball": [own["ball"].iloc[0]], "ids": [own["node"].to_numpy(np.int64).tobytes()], "weights": [own["weight"].to_numpy(np.int64).tobytes()], "units": [np.stack(own["unit"].to_numpy()).astype(np.float64).tobytes()]})
 
     need = pairs.select(F.col("a").alias("ball")).unionByName(pairs.select(F.col("b").alias("ball"))).distinct()
-    sizes = members.join(need, "ball").groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "ball").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    sizes = leaders.join(need, "ball").select("ball", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("chunks"))
+    dealt = join_facts(members, sizes, ["ball"], "members", total).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     blocks = cut(dealt.select("ball", "chunk", "node", "weight", "unit").groupBy("ball", "chunk").applyInPandas(pack, "ball bigint, ids binary, weights binary, units binary"))
     side = lambda x: blocks.select(F.col("ball").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("ids", "weights", "units")))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
@@ -349,12 +359,13 @@ def _members(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """(id, n_links, component_id) for every row; component_id is the smallest id reachable over links."""
-    rows = rows.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
+    rows = usable(rows.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("vector")))
     found = nodes(rows)
+    total = found.count()
     centres = centroids(found)
     of = cut(balls(deal(found, centres, 1)))
     members = cut(of.join(found.select("node", "weight", "first", "unit", "label", "dims"), "node"))
-    facts = members.groupBy("ball").agg(F.max("angle").alias("radius"), F.sum("weight").alias("total"), F.min("first").alias("first"))
+    facts = members.groupBy("ball").agg(F.max("angle").alias("radius"), F.sum("weight").alias("total"), F.min("first").alias("first"), F.count("*").alias("members"))
     leaders = cut(facts.join(members.where("node = ball").select("ball", "unit", "label", "dims"), "ball"))
     overlap = OVERLAP
     while True:
@@ -372,15 +383,15 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     alone = "(ra = 0 and rb = 0)"
     judged = cut(judged.withColumn("all", F.expr(f"case when {alone} then c >= {COSINE}D else angle + ra + rb <= acos({COSINE}D) - {_EDGE} end")))
     whole = judged.where("all")
-    some = cut(_members(judged.where(f"not all and not {alone}"), members.select("ball", "node", "weight", "unit")))
+    some = cut(_members(judged.where(f"not all and not {alone}"), members.select("ball", "node", "weight", "unit"), leaders, total))
     by_ball = whole.select(F.col("a").alias("ball"), F.col("tb").alias("n")).unionByName(whole.select(F.col("b").alias("ball"), F.col("ta").alias("n"))).groupBy("ball").agg(F.sum("n").alias("outer"))
     by_node = some.groupBy("node").agg(F.sum("n").alias("partial"))
     roots = components(whole.select("a", "b").unionByName(some.select("a", "b").distinct()))
     least = roots.join(leaders.select(F.col("ball").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
     component = roots.join(least, "root").select(F.col("node").alias("ball"), "least")
-    per_ball = leaders.select("ball", "total", "first").join(by_ball, "ball", "left").join(component, "ball", "left")
-    counted = members.select("node", "ball").join(per_ball, "ball").join(by_node, "node", "left")
+    per_ball = cut(leaders.select("ball", "members", "total", "first").join(by_ball, "ball", "left").join(component, "ball", "left"))
+    counted = join_facts(members.select("node", "ball"), per_ball, ["ball"], "members", total).join(by_node, "node", "left")
     counted = counted.select("node", (F.col("total") - 1 + F.coalesce("outer", F.lit(0)) + F.coalesce("partial", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
-    per_vector = found.select("node", F.col("label").alias("l"), F.col("vector").alias("v")).join(counted, "node")
-    out = rows.join(per_vector, (rows["label"] == per_vector["l"]) & (rows["vector"] == per_vector["v"]), "left")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    per_vector = cut(found.select("node", "label", "vector", "weight").join(counted, "node").drop("node"))
+    linked = join_facts(rows.where("ok").select("id", "label", "vector"), per_vector, ["label", "vector"], "weight", rows.count()).select("id", F.col("n_links").cast("bigint").alias("n_links"), "component_id")
+    return linked.unionByName(rows.where("not ok").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
