@@ -37,7 +37,9 @@ K = 20
 #: Candidates and queries of a packed block, and dimensions accumulated at a time.
 BLOCK_ROWS, QUERY_ROWS, BLOCK_DIMS = 2048, 512, 16
 #: Candidate blocks, on average, that a query block meets in one row.
-RUN = 8
+RUN = 4
+#: Share of surviving pairs below which pairs are kept as a list.
+SPARSE = 0.05
 
 
 def usable(vector: Column) -> Column:
@@ -83,31 +85,39 @@ def search_block(best: list[tuple[np.ndarray, np.ndarray]], q_ids: np.ndarray, q
     rest = lambda m: np.sqrt(np.cumsum((m.astype(np.float64) ** 2)[::-1], axis=0)[::-1])
     q_rest, c_rest = rest(q), rest(c)
     floor = np.array([s[-1] if len(s) >= k else -np.inf for s, _ in best], np.float64)
-    # first dimension block: all pairs at once; survivors are compacted to (query, candidate) lists
-    d = min(BLOCK_DIMS, dims)
     for at in range(0, q.shape[1], 256):
         own = slice(at, min(at + 256, q.shape[1]))
-        part = _dot(q[:d, own], c[:d], exact)
-        if dims > d:
-            top = (part + np.multiply.outer(q_rest[d, own], c_rest[d])).astype(np.float64)
-            few = np.isneginf(floor[own])
-            if few.any() and c.shape[1] > k:  # no k-th best yet: the k-th largest of what the candidates reach at least
-                least = (part - np.multiply.outer(q_rest[d, own], c_rest[d]))[few].astype(np.float64)
-                floor[own][few] = np.partition(least, c.shape[1] - k - 1, axis=1)[:, c.shape[1] - k - 1] - 1.0
-            alive = top >= (floor[own] - 1e-6 * (1 + np.abs(floor[own])))[:, None]
-        else:
-            alive = part.astype(np.float64) >= floor[own][:, None]
-        alive &= q_ids[own][:, None] != c_ids[None]
+        # while many pairs survive: all pairs of the remaining candidates, a dimension block at a time
+        columns, score = np.arange(c.shape[1]), np.zeros((own.stop - own.start, c.shape[1]), exact)
+        left, lo = c, 0
+        edge = floor[own]
+        while lo < dims:
+            hi = min(lo + BLOCK_DIMS, dims)
+            score = score + _dot(q[lo:hi, own], left[lo:hi], exact)
+            lo = hi
+            slack = np.multiply.outer(q_rest[lo, own], c_rest[lo][columns]) if lo < dims else 0.0
+            if lo == BLOCK_DIMS < dims and np.isneginf(edge).any() and c.shape[1] > k:
+                # no k-th best yet: one more than k candidates reach this much, one of which may be the query itself
+                few = np.isneginf(edge)
+                least = score[few].astype(np.float64) - slack[few]
+                edge = edge.copy()
+                edge[few] = np.partition(least, c.shape[1] - k - 1, axis=1)[:, c.shape[1] - k - 1] - 1.0
+            alive = score.astype(np.float64) + slack >= (edge - 1e-6 * (1 + np.abs(edge)))[:, None]
+            some = alive.any(axis=0)
+            columns, left, score, alive = columns[some], left[:, some], score[:, some], alive[:, some]
+            if alive.size == 0 or alive.mean() < SPARSE:
+                break
+        alive &= q_ids[own][:, None] != c_ids[columns][None]
         qi, ci = np.nonzero(alive)
-        score = part[qi, ci]
-        for lo in range(d, dims, BLOCK_DIMS):
+        score, ci = score[qi, ci], columns[ci]
+        # then the surviving pairs alone
+        for lo in range(lo, dims, BLOCK_DIMS):  # noqa: B020
             hi = min(lo + BLOCK_DIMS, dims)
-            step = (q[lo:hi, own].astype(exact)[:, qi] * c[lo:hi].astype(exact)[:, ci]).sum(axis=0) if len(qi) else np.zeros(0, exact)
-            score = score + step
+            if len(qi):
+                score = score + (q[lo:hi, own].astype(exact)[:, qi] * c[lo:hi].astype(exact)[:, ci]).sum(axis=0)
             if hi < dims:
                 bound = score.astype(np.float64) + q_rest[hi, own][qi] * c_rest[hi][ci]
-                edge = floor[own][qi]
-                keep = bound >= edge - 1e-6 * (1 + np.abs(edge))
+                keep = bound >= edge[qi] - 1e-6 * (1 + np.abs(edge[qi]))
                 qi, ci, score = qi[keep], ci[keep], score[keep]
         score = score.astype(object if exact is object else np.int64)
         order = np.lexsort((c_ids[ci], -score, qi)) if exact is not object else np.array(sorted(range(len(qi)), key=lambda j: (qi[j], -score[j], c_ids[ci[j]])), int)
