@@ -1,7 +1,8 @@
 """Site-relative line deduplication with DataFrame functions only.
 
 A line is boilerplate on a host if the share of the host's pages that contain it
-exceeds a ratio. Lines are compared after trimming spaces; blank lines count
+exceeds a ratio, and it is on a least number of its pages, so that a few copies of
+a document on a small host keep their lines. Lines are compared after trimming spaces; blank lines count
 nowhere and stay. Lines travel as two independent 64-bit hashes.
 
 Counting explodes each page's distinct lines to (host, line) and aggregates with
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.common import cut
 
-RATIO, MIN_PAGES = 0.1, 5
+RATIO, MIN_PAGES, MIN_COPIES = 0.05, 5, 4
 #: Boilerplate rows that are sent to every task (about 50 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -35,19 +36,19 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(F.trim(line)).alias("h1"), F.xxhash64(F.lit(1), F.trim(line)).alias("h2"))
 
 
-def boilerplate(pages: DataFrame, text_column: str, host_column: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line): line is struct(h1, h2), on more than ratio of the host's pages."""
+def boilerplate(pages: DataFrame, text_column: str, host_column: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> DataFrame:
+    """(host, line): line is struct(h1, h2), on more than ratio of the host's pages and on min_copies of them at least."""
     rows = pages.select(F.coalesce(F.col(host_column).cast("string"), F.lit("")).alias("host"), F.col(text_column).cast("string").alias("text"))
     own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
-    lines = rows.where("text is not null").select("host", F.explode(own).alias("line")).select("host", "line.h1", "line.h2").groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    lines = rows.where("text is not null").select("host", F.explode(own).alias("line")).select("host", "line.h1", "line.h2").groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_copies)
     totals = rows.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= min_pages)
     return lines.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", F.struct("h1", "h2").alias("line"))
 
 
-def drop_boilerplate(pages: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, details: bool = True) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES, details: bool = True) -> DataFrame:
     """The input with boilerplate lines gone from its text, and with details a column _lines(host, n_lines, n_dropped)."""
     names = pages.columns
-    found = cut(boilerplate(pages, text_column, host_column, ratio, min_pages))
+    found = cut(boilerplate(pages, text_column, host_column, ratio, min_pages, min_copies))
     text = F.col(text_column).cast("string")
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(host_column).cast("string"), F.lit("")).alias("host"), F.col(id_column).alias("id"), text.alias("text"))
     if found.count() <= BROADCAST_ROWS:

@@ -167,6 +167,18 @@ def test_line_dedup(spark):
     assert linededup.drop_boilerplate(docs(spark, []), details=False).count() == 0
 
 
+def test_line_on_a_tenth_of_the_pages_goes_and_copies_stay(spark):
+    hosts, texts, sources = {"a": 40, "b": 50, "c": 200}, [], []
+    for host, n in hosts.items():
+        for i in range(n):
+            copy = f"copied {host}\nbody of it" if i in (1, 2, 3) else f"own {host} {i}"
+            texts.append(copy + ("\nfooter" if i % 10 == 0 else ""))
+            sources.append(host)
+    rows = [(i, t, s) for i, (t, s) in enumerate(zip(texts, sources, strict=True))]
+    out = linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), details=False)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t.removesuffix("\nfooter") for i, t in enumerate(texts)}
+
+
 def test_line_dedup_without_broadcast(spark, monkeypatch):
     texts = [f"common\nown {i}\nfooter {i % 2}" for i in range(12)]
     want = sorted(map(tuple, linededup.drop_boilerplate(docs(spark, texts).select("doc_id", "text", "source")).collect()))
