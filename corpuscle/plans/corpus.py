@@ -264,7 +264,7 @@ def intent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy(classify.context_intent(F.expr(TASK)).alias("intent")).agg(F.count("*").alias("n"))
 
 
-@query("STR14 JON11", r"WITH u AS (SELECT page_id, regexp_extract(regexp_replace(url, '^(https?://)([^/]+)/', '\1\2/api/'), '/api/[A-Za-z0-9_./${}\[\]-]+') AS a FROM pages) SELECT page_id, regexp_replace(a, '[/,;)]+$', '') AS api_path FROM u")
+@query("STR14", r"WITH u AS (SELECT page_id, regexp_extract(regexp_replace(url, '^(https?://)([^/]+)/', '\1\2/api/'), '/api/[A-Za-z0-9_./${}\[\]-]+') AS a FROM pages) SELECT page_id, regexp_replace(a, '[/,;)]+$', '') AS api_path FROM u")
 def api_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.regexp_replace("url", "^(https?://)([^/]+)/", "$1$2/api/")
     return read(spark, sf_dir, "pages").select("page_id", text.api_path(url).alias("api_path"))

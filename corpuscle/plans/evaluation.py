@@ -130,7 +130,7 @@ def owner_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", strength.alias("strength")).agg(F.count("*").alias("n"))
 
 
-@query("EVL09 AGG26", "WITH c AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS asks, count(*) FILTER (WHERE role = 'assistant') AS answers, count(*) FILTER (WHERE role = 'system') AS notes, sum(length(text)) AS chars FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(greatest(0, 100 - CASE WHEN notes = 0 THEN 35 ELSE 0 END - CASE WHEN answers < asks THEN 15 ELSE 0 END - CASE WHEN chars < 1000 THEN 25 ELSE 0 END - least(20, 5 * asks)) AS BIGINT) AS score FROM c")
+@query("EVL09", "WITH c AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS asks, count(*) FILTER (WHERE role = 'assistant') AS answers, count(*) FILTER (WHERE role = 'system') AS notes, sum(length(text)) AS chars FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(greatest(0, 100 - CASE WHEN notes = 0 THEN 35 ELSE 0 END - CASE WHEN answers < asks THEN 15 ELSE 0 END - CASE WHEN chars < 1000 THEN 25 ELSE 0 END - least(20, 5 * asks)) AS BIGINT) AS score FROM c")
 def report_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = lambda r: F.count_if(F.col("role") == r)
     per = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(role("user").alias("asks"), role("assistant").alias("answers"), role("system").alias("notes"), F.sum(F.length("text")).alias("chars"))

@@ -45,13 +45,13 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.budget_prefix(files(spark, sf_dir).select("source", "doc_id", "tokens"), ["source"], [F.desc("tokens"), F.col("doc_id")], "tokens", 20000).select("source", "doc_id", "spent")
 
 
-@query("RNK07 RNK08 RNK10")
+@query("RNK07")
 def budget_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skip-greedy selection; no SQL form, tested against a plain loop."""
     return selection.greedy_budget(files(spark, sf_dir), "source", "doc_id", "tokens", "tokens", 20000)
 
 
-@query("SRT03 SRT04")
+@query("SRT03")
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three diverse picks of each source; no SQL form, tested against a plain loop."""
     rows = files(spark, sf_dir).select("source", "doc_id", "tokens", text.path_tokens(F.col("path")).alias("terms"))
@@ -124,7 +124,7 @@ def call_site_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.join(targets, "symbol").groupBy("caller").agg(F.least(90 * F.count("*"), F.lit(180)).alias("boost"))
 
 
-@query("JON12 JON13", f"WITH {P_SQL}, s AS (SELECT source, lang, max(tokens) AS best FROM f GROUP BY source, lang), r AS (SELECT source, lang, arg_max(doc_id, (tokens, -doc_id)) AS seed FROM f GROUP BY source, lang) SELECT f.source, count(*) AS boosted FROM f JOIN s USING (source, lang) JOIN r USING (source, lang) WHERE best >= 90 AND doc_id <> seed GROUP BY f.source")
+@query("JON12", f"WITH {P_SQL}, s AS (SELECT source, lang, max(tokens) AS best FROM f GROUP BY source, lang), r AS (SELECT source, lang, arg_max(doc_id, (tokens, -doc_id)) AS seed FROM f GROUP BY source, lang) SELECT f.source, count(*) AS boosted FROM f JOIN s USING (source, lang) JOIN r USING (source, lang) WHERE best >= 90 AND doc_id <> seed GROUP BY f.source")
 def family_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).select("source", "lang", "doc_id", "tokens")
     seeds = f.groupBy("source", "lang").agg(F.max("tokens").alias("best"), F.max_by("doc_id", F.struct("tokens", -F.col("doc_id"))).alias("seed")).where("best >= 90")

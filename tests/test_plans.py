@@ -60,3 +60,8 @@ def test_secrets_of_every_pattern(spark, tmp_path):
     said = plans.QUERIES["secret_warnings"](spark, str(tmp_path)).orderBy("doc_id", "pos").collect()
     assert [(r["doc_id"], r["label"], r["line"]) for r in said] == [(i, *w) for i, (_, _, ws) in enumerate(cases) for w in ws]
     assert said[0]["warning"].endswith(".py: private-key detected (line 3)")
+
+
+def test_no_query_claims_an_open_operator():
+    claimed = {op for ops in plans.OPERATORS.values() for op in ops}
+    assert not claimed & {"JON11", "JON13", "SRT04", "RNK08", "RNK10", "AGG26", "GRF03"}
