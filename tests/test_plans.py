@@ -65,3 +65,9 @@ def test_secrets_of_every_pattern(spark, tmp_path):
 def test_no_query_claims_an_open_operator():
     claimed = {op for ops in plans.OPERATORS.values() for op in ops}
     assert not claimed & {"JON11", "JON13", "SRT04", "RNK08", "RNK10", "AGG26", "GRF03"}
+
+
+def test_one_shared_file_is_a_conflict(spark, tmp_path):
+    rows = [(1, 5), (8, 5), (8, 5), (15, 5), (15, 6), (1, 6), (2, 5), (22, 9)]
+    spark.createDataFrame([(u, "click", f'{{"k": {k}}}') for u, k in rows], "user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in plans.QUERIES["thread_conflicts"](spark, str(tmp_path)).select("a", "b", "overlap").collect()} == {(1, 8, 1), (1, 15, 2), (8, 15, 1)}
