@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import classify, secrets, text
@@ -97,13 +97,28 @@ def term_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bigram_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = text.bigrams(F.col("t"))
     found = files(spark, sf_dir).select(text.ordered_tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    return found.where("n > 1").select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("df")).where("df > 1")
+    return found.where("n > 1").select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("df"))
+
+
+def rarity_by_workspace(docs: DataFrame, items: Column, name: str, counted: Column | None = None) -> DataFrame:
+    """(source, item, df, rarity) of every item for each source, and for all of them under a null source; only documents with terms count."""
+    own = docs.select(F.coalesce("source", F.lit("(root)")).alias("source"), items.alias("items"), (F.size(items) > 0 if counted is None else counted).alias("counted")).where("counted")
+    totals = own.groupingSets([[], ["source"]], "source").agg(F.count("*").alias("n")).select(F.col("source").alias("of"), "n")
+    df = own.select("source", F.explode("items").alias(name)).groupingSets([[name], ["source", name]], "source", name).agg(F.count("*").alias("df"))
+    found = df.join(F.broadcast(totals), F.col("source").eqNullSafe(F.col("of")))  # a row for each source
+    return found.select("source", name, "df", F.round(rel.rarity(F.col("n"), F.col("df")), 9).alias("rarity"))
 
 
 @query("AGG03 MTH02", f"WITH t AS (SELECT source, unnest(list_distinct({WORDS_SQL})) AS term FROM documents) SELECT source, term, count(*) AS df FROM t GROUP BY GROUPING SETS ((term), (source, term)) HAVING count(*) > 2")
 def workspace_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = files(spark, sf_dir).select("source", F.explode(F.array_distinct(text.ordered_tokens(F.col("text")))).alias("term"))
-    return terms.groupingSets([["term"], ["source", "term"]], "source", "term").agg(F.count("*").alias("df")).where("df > 2").select("source", "term", "df")
+    return rarity_by_workspace(files(spark, sf_dir), F.array_distinct(text.ordered_tokens(F.col("text"))), "term")
+
+
+@query("AGG03 STR03 MTH02")
+def workspace_bigram_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form, tested on a small fixture."""
+    docs = files(spark, sf_dir).select("source", text.ordered_tokens(F.col("text")).alias("t"))
+    return rarity_by_workspace(docs, text.bigrams(F.col("t")), "bigram", F.size("t") > 0)
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"

@@ -1,5 +1,6 @@
 """Every registered plan against its DuckDB equivalent on the smallest tables."""
 
+import math
 from decimal import Decimal
 
 import duckdb
@@ -71,3 +72,15 @@ def test_one_shared_file_is_a_conflict(spark, tmp_path):
     rows = [(1, 5), (8, 5), (8, 5), (15, 5), (15, 6), (1, 6), (2, 5), (22, 9)]
     spark.createDataFrame([(u, "click", f'{{"k": {k}}}') for u, k in rows], "user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert {tuple(r) for r in plans.QUERIES["thread_conflicts"](spark, str(tmp_path)).select("a", "b", "overlap").collect()} == {(1, 8, 1), (1, 15, 2), (8, 15, 1)}
+
+
+def test_rare_terms_and_bigrams_stay_and_have_a_rarity(spark, tmp_path):
+    texts = [("a", "one two three"), ("a", "one two"), ("b", "one four"), ("b", ""), (None, "one"), ("b", None)]
+    spark.createDataFrame([(i, s, "en", t) for i, (s, t) in enumerate(texts)], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: [tuple(r) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()]
+    rarity = lambda n, df: 1.0 if n <= 1 else round(math.log((n + 1) / (df + 1)) / math.log(n + 1), 9)
+    assert set(run("bigram_frequency")) == {("one two", 2), ("two three", 1), ("one four", 1)}
+    terms = {(None, "one"): (4, 4), (None, "two"): (4, 2), (None, "three"): (4, 1), (None, "four"): (4, 1), ("a", "one"): (2, 2), ("a", "two"): (2, 2), ("a", "three"): (2, 1), ("b", "one"): (1, 1), ("b", "four"): (1, 1), ("(root)", "one"): (1, 1)}
+    assert sorted(run("workspace_rarity"), key=repr) == sorted(((s, t, df, rarity(n, df)) for (s, t), (n, df) in terms.items()), key=repr)
+    pairs = {(None, "one two"): (4, 2), (None, "two three"): (4, 1), (None, "one four"): (4, 1), ("a", "one two"): (2, 2), ("a", "two three"): (2, 1), ("b", "one four"): (1, 1)}
+    assert sorted(run("workspace_bigram_rarity"), key=repr) == sorted(((s, t, df, rarity(n, df)) for (s, t), (n, df) in pairs.items()), key=repr)
