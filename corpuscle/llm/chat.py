@@ -12,8 +12,9 @@ character; one that already has backslashes there gets one more, so unescaping
 is exact. Any text, escaped or not, survives encoding and decoding bytewise.
 
 Turns are ordered by turn, then role, then text, nulls first. Conversations are
-read as streams of sorted rows: a worker holds one turn at a time, however long
-a conversation is.
+read as streams of sorted rows: a worker holds a batch of turns at a time, however
+long a conversation is. A segment is encoded whole. One conversation is one task,
+since its digests are taken over all its turns in order.
 
 Defined results: null role or text: empty; a null conversation id is one
 conversation of its own; repeated rows are turns of their own; an empty table
@@ -44,8 +45,6 @@ CONTROLS = ("[INST]", "[/INST]", "</s>", "<s>")
 OPEN, BODY, END, START = range(4)
 _ESCAPE = re.compile(r"([\[<])(\\*)(/?INST\]|/?s>)")
 _UNESCAPE = re.compile(r"([\[<])\\(\\*)(/?INST\]|/?s>)")
-#: Segments longer than this many characters are encoded in parts that end at a space.
-PART = 20_000
 
 
 def escape(text: str) -> str:
@@ -67,21 +66,9 @@ class Template:
         self.text_of = {i: c for c, i in self.reserved.items()}
         self.encoding = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.reserved)
 
-    def _segment(self, text: str) -> list[int]:
-        if len(text) <= PART:
-            return self.encoding.encode_ordinary(text)
-        ids: list[int] = []
-        at = 0
-        while at < len(text):
-            end = text.find(" ", at + PART)
-            end = min(len(text), at + 2 * PART) if end < 0 or end > at + 2 * PART else end
-            ids += self.encoding.encode_ordinary(text[at:end])
-            at = end
-        return ids
-
     def turn(self, role: str, text: str) -> tuple[np.ndarray, int, int]:
         """The ids of a turn, and the offsets at which its text begins and ends."""
-        parts = [[self.reserved["[INST]"]], self._segment(escape(role)), [self.reserved["[/INST]"]], self._segment(escape(text)), [self.reserved["</s>"]]]
+        parts = [[self.reserved["[INST]"]], self.encoding.encode_ordinary(escape(role)), [self.reserved["[/INST]"]], self.encoding.encode_ordinary(escape(text)), [self.reserved["</s>"]]]
         ends = np.cumsum([len(p) for p in parts])
         return np.fromiter((i for p in parts for i in p), "<u4", int(ends[-1])), int(ends[2]), int(ends[3])
 
