@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes that go to a Python worker in one Arrow batch.
@@ -28,16 +28,37 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the one that spark.checkpoint.dir names; only where it is unset
-    (as in local tests) a temporary one is used.
+    The folder is the one that spark.checkpoint.dir names. Only a local master may
+    leave it unset and get a temporary one: a cluster's executors could not share it.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
 
 
+def bounded_sample(rows: DataFrame, classes: str, most_rows: int, most_bytes: int, long: int) -> DataFrame:
+    """A sample of rows (id, text, class) with whole texts: at most most_rows of each class, most_bytes of all classes.
+
+    Every class has the same part of the bytes. Rows are taken by a hash of id and
+    text, texts of more than long bytes last; a class's first row always is. Rows that repeat both count once. Far fewer rows than a
+    class has are ranked: those under a share of the hash range that would hold
+    several times the sample, which combines to nothing much whatever the input.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("id", "text")).withColumn("size", F.octet_length("text"))
+    counts = hashed.groupBy(classes).agg(F.count("*").alias("n"), F.count_if(F.col("size") <= long).alias("short"))
+    share = F.least(F.lit(1.0), F.lit(8.0 * most_rows) / F.when(F.col("short") > most_rows, F.col("short")).otherwise(F.col("n")))
+    per_class = counts.select(classes, share.alias("share"), (F.lit(most_bytes) / F.count("*").over(Window.partitionBy())).alias("budget"))  # a row for each class
+    near = hashed.join(F.broadcast(per_class), classes).where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
+    order = Window.partitionBy(classes).orderBy(F.col("size") > long, "h")
+    ranked = near.dropDuplicates([classes, "h"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_rows)
+    spent = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("spent", spent).where((F.col("rank") == 1) | (F.col("spent") <= F.col("budget"))).select(classes, "rank", "text")
+
+
 def fold(id_column: Column, folds: int) -> Column:
     """crc32 of the id's text modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds

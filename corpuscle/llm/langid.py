@@ -10,12 +10,14 @@ To predict, embedding and filters are folded into tables over byte pairs, so a
 convolution is one or two look-ups; windows of many documents go side by side,
 a position at a time, so a batch takes a fixed amount of memory.
 
-Fitting uses at most FIT_DOCS texts of each language and FIT_WINDOWS windows,
-spread evenly, of each text; only those windows reach the driver. The counts behind the sampling cover all rows.
+Fitting uses all windows of at most FIT_DOCS whole texts of each language, of
+FIT_BYTES in all languages together; which ones, a hash of id and text decides
+over all rows. Only those texts reach the driver.
 
 Defined results: a text that is null or has no letter is `und`, score 0; rows
-with a null text or lang teach nothing; without any label every text is `und`;
-repeated rows stay; an empty table gives no rows. Extra columns are ignored.
+with a null text or lang teach nothing; rows that repeat id and text teach once;
+without any label every text is `und`; repeated rows stay; an empty table gives no
+rows. Extra columns are kept, but columns named _lang and _score are replaced.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from corpuscle.llm.common import map_batches
+from corpuscle.llm.common import bounded_sample, map_batches
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
-FIT_DOCS, FIT_WINDOWS, EPOCHS, BATCH, RATE, SEED = 600, 6, 8, 64, 0.01, 7
+EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 7
+#: Bounds of the fitted sample: texts of a language, bytes in all, and the length from which texts are taken last.
+FIT_DOCS, FIT_BYTES, FIT_LONG = 250, 32 << 20, 16 << 10
 UNKNOWN = "und"
-#: Least score of a document that filter_languages() keeps.
-LEAST_SCORE = 0.3
+#: How far the score must rise from chance (1 / languages) towards 1 for filter_languages() to keep a document.
+MARGIN = 0.07
 #: Windows that are convolved side by side.
 SIDE = 1024
 
@@ -179,30 +183,19 @@ def predictor(packed) -> Predictor:
 
 def train(docs: DataFrame, keep: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang"):
     """The packed model learned from the rows of docs that keep holds for."""
-    rows = docs.where(keep).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
-    languages = sorted(counts)
-    if not languages:
+    rows = docs.where(keep).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    sample = bounded_sample(rows.where("text is not null and lang is not null"), "lang", FIT_DOCS, FIT_BYTES, FIT_LONG).collect()
+    own = [(r["lang"], windows(r["text"])) for r in sorted(sample, key=lambda r: (r["lang"], r["rank"])) if _LETTER.search(r["text"])]
+    if not own:
         return (), ()
-    most = docs.sparkSession.createDataFrame([(c, int(1e6 * min(1.0, FIT_DOCS / n))) for c, n in counts.items()], "lang string, share int")
-    drawn = rows.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share"))
-    # pieces of WINDOW characters spread evenly over the text, so that the sample is bounded in bytes too
-    pieces = F.expr(f"transform(sequence(0, least({FIT_WINDOWS}, ceil(length(text) / {WINDOW})) - 1), i -> substring(text, cast(1 + i * (length(text) / least({FIT_WINDOWS}, ceil(length(text) / {WINDOW}))) as int), {WINDOW}))")
-    sample = sorted((r["lang"], str(r["id"]), r["pieces"]) for r in drawn.where("text <> ''").select("lang", "id", pieces.alias("pieces")).collect())
-    x, y, taken = [], [], dict.fromkeys(languages, 0)
-    for lang, _, own in sample:
-        own = [windows(p)[:1] for p in own if _LETTER.search(p)]
-        if own and taken[lang] < FIT_DOCS:
-            taken[lang] += 1
-            x += own
-            y += [languages.index(lang)] * len(own)
-    if not x:
-        return (), ()
-    return ByteCnn(languages).fit(np.concatenate(x), np.array(y)).packed()
+    languages = sorted({lang for lang, _ in own})
+    y = np.repeat([languages.index(lang) for lang, _ in own], [len(w) for _, w in own])
+    return ByteCnn(languages).fit(np.concatenate([w for _, w in own]), y).packed()
 
 
 def identify(docs: DataFrame, model, text_column: str = "text") -> DataFrame:
     """The input with _lang and _score."""
+    docs = docs.drop("_lang", "_score")
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +207,8 @@ def identify(docs: DataFrame, model, text_column: str = "text") -> DataFrame:
     return map_batches(docs, run, StructType(list(schema)).add("_lang", StringType()).add("_score", DoubleType()))
 
 
-def filter_languages(docs: DataFrame, model, text_column: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is known with a score of at least `least`."""
+def filter_languages(docs: DataFrame, model, text_column: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The documents whose language is known with a score of at least margin above chance; all columns stay."""
+    chance = 1 / max(1, len(model[0]))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_column).cast("string").alias("text"))
-    return identify(rows, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select("row.*")
+    return identify(rows, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= chance + margin * (1 - chance))).select("row.*")
