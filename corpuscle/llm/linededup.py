@@ -8,12 +8,15 @@ nowhere and stay. Lines travel as two independent 64-bit hashes.
 Counting explodes each page's distinct lines to (host, line) and aggregates with
 map-side combination, so a line that a third of all pages carry is a handful of
 rows per task. Boilerplate is small by its definition: a host has at most its mean
-number of lines per page, divided by the ratio, of such lines. If its counted rows
-are few enough they go to every task; otherwise the hits are joined by shuffle.
+number of lines per page, divided by the ratio, of such lines. They are gathered
+for each host. If they are few in all they go to every task and no text moves;
+otherwise those of heavy hosts do, and only texts of hosts with less than a
+ten-thousandth of the pages move.
 
 Defined results: a null text stays null and has no lines; a null host is a host of
 its own, written as the empty string; hosts of fewer than min_pages pages lose
 nothing; repeated rows count as pages of their own; an empty table gives no rows.
+Extra columns are kept, but with details a column named _lines is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import cut
+from corpuscle.llm.common import cut, join_facts
 
 RATIO, MIN_PAGES, MIN_COPIES = 0.05, 5, 4
 #: Boilerplate rows that are sent to every task (about 50 bytes each); beyond it the join shuffles.
@@ -36,28 +39,27 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(F.trim(line)).alias("h1"), F.xxhash64(F.lit(1), F.trim(line)).alias("h2"))
 
 
-def boilerplate(pages: DataFrame, text_column: str, host_column: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> DataFrame:
-    """(host, line): line is struct(h1, h2), on more than ratio of the host's pages and on min_copies of them at least."""
+def boilerplate(pages: DataFrame, text_column: str, host_column: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> tuple[DataFrame, int]:
+    """(host, total, bad) for every host, and the number of all pages: bad holds the struct(h1, h2) of its boilerplate lines, or null."""
     rows = pages.select(F.coalesce(F.col(host_column).cast("string"), F.lit("")).alias("host"), F.col(text_column).cast("string").alias("text"))
+    totals = cut(rows.groupBy("host").agg(F.count("*").alias("total")))  # a row for each host
+    every = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     lines = rows.where("text is not null").select("host", F.explode(own).alias("line")).select("host", "line.h1", "line.h2").groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_copies)
-    totals = rows.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= min_pages)
-    return lines.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", F.struct("h1", "h2").alias("line"))
+    judged = join_facts(lines, totals.where(F.col("total") >= min_pages).withColumn("pages", F.col("total")), ["host"], "total", every)
+    bad = judged.where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias("bad"))
+    return cut(totals.join(bad, "host", "left")), every
 
 
-def drop_boilerplate(pages: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES, details: bool = True) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, text_column: str = "text", host_column: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES, details: bool = True) -> DataFrame:
     """The input with boilerplate lines gone from its text, and with details a column _lines(host, n_lines, n_dropped)."""
-    names = pages.columns
-    found = cut(boilerplate(pages, text_column, host_column, ratio, min_pages, min_copies))
-    text = F.col(text_column).cast("string")
-    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(host_column).cast("string"), F.lit("")).alias("host"), F.col(id_column).alias("id"), text.alias("text"))
-    if found.count() <= BROADCAST_ROWS:
-        bad = found.groupBy("host").agg(F.collect_list("line").alias("bad"))
-        rows = rows.join(F.broadcast(bad), "host", "left")
+    names = [c for c in pages.columns if not details or c.lower() != "_lines"]
+    found, every = boilerplate(pages, text_column, host_column, ratio, min_pages, min_copies)
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(host_column).cast("string"), F.lit("")).alias("host"), F.col(text_column).cast("string").alias("text"))
+    if found.agg(F.coalesce(F.sum(F.size(F.coalesce("bad", F.array()))), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(found.where("bad is not null").drop("total")), "host", "left")
     else:
-        own = F.array_distinct(F.transform(_lines(F.col("text")), _key))
-        hits = rows.select("id", "host", F.explode(own).alias("line")).join(found, ["host", "line"], "left_semi").groupBy("id", "host").agg(F.collect_set("line").alias("bad")).withColumnsRenamed({"id": "_id", "host": "_host"})
-        rows = rows.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")), "left")
+        rows = join_facts(rows, found, ["host"], "total", every)
     kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("bad"), _key(x)))
     rows = rows.withColumn("kept", F.when(F.col("bad").isNotNull() & F.col("text").isNotNull(), kept))
     whole = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
@@ -71,7 +73,7 @@ ORACLE_SQL = f"""
 WITH rows AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
 own AS (SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM rows WHERE text IS NOT NULL),
 totals AS (SELECT host, count(*) AS total FROM rows GROUP BY host),
-bad AS (SELECT host, list(line) AS bad FROM (SELECT host, line FROM own JOIN totals USING (host) GROUP BY host, line, total HAVING count(*) > 1 AND total >= {MIN_PAGES} AND count(*) > {RATIO} * total) GROUP BY host),
+bad AS (SELECT host, list(line) AS bad FROM (SELECT host, line FROM own JOIN totals USING (host) GROUP BY host, line, total HAVING count(*) >= {MIN_COPIES} AND total >= {MIN_PAGES} AND count(*) > {RATIO} * total) GROUP BY host),
 kept AS (SELECT r.*, list_filter(lines, lambda x: trim(x) = '' OR bad IS NULL OR NOT list_contains(bad, trim(x))) AS kept FROM rows r LEFT JOIN bad USING (host))
 SELECT doc_id, host, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM kept
 """
