@@ -20,6 +20,7 @@ WORD_BPE = os.path.join(TOKENIZERS, "word_bpe_49k.json")
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
     rows = rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("vector"))
+    rows = topk.numbered(rows)
     return topk.top_k(rows.where("id % 20 = 0"), rows).withColumnRenamed("id", "vec_id")
 
 

@@ -6,7 +6,9 @@ products are accumulated a dimension block at a time; what the missing dimension
 can still add is at most the product of the two remaining norms, so a candidate
 whose partial product plus that bound is below the query's k-th best so far is
 dropped, and the survivors are compacted before the next dimension block. A task
-reads a run of candidate blocks in turn and carries the k-th best along.
+reads a run of candidate blocks in turn and carries the k-th best along. Every
+query block first meets one candidate block alone; the k-th best found there is
+the least that its queries ask of every run.
 
 All arithmetic is exact: vectors are integers, products are taken in double
 precision as long as they stay below 2**53 and in 64-bit or arbitrary integers
@@ -17,9 +19,11 @@ rows of a run are at most k for each of its queries, and the last ranking is a
 window over one query's rows.
 
 Defined results: rows with a null id, and vectors that are null, empty, or hold null or non-finite
-components take no part; vectors meet only those of their own length; rows that
-repeat an id count once, with the smallest vector; ties go to the smaller id;
-a query does not meet its own id; an empty table gives no rows.
+components take no part; vectors meet only those of their own length; ties go to
+the smaller id; an empty table gives no rows. Rows are told apart by the column
+row: rows that repeat an id or a vector are candidates, and queries, of their own,
+and a query meets every row but itself. Scores beyond 64 bits are ranked exactly
+within a block and given as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -33,11 +37,16 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.common import cut, map_batches
 
+#: Least and largest score.
+LOW, HIGH = -(2**63), 2**63 - 1
+
 K = 20
 #: Candidates and queries of a packed block, and dimensions accumulated at a time.
 BLOCK_ROWS, QUERY_ROWS, BLOCK_DIMS = 2048, 512, 16
 #: Candidate blocks, on average, that a query block meets in one row.
 RUN = 4
+#: Query blocks, on average, that meet a run in one task, and lengths whose first blocks are sent to every task.
+TILE, BROADCAST_LENGTHS = 64, 64
 #: Share of surviving pairs below which pairs are kept as a list.
 SPARSE = 0.05
 
@@ -48,9 +57,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with the column row, a number of their own that stays the same."""
+    return cut(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(dims, ids, matrix): int64 matrices of shape (dims, at most size rows), checkpointed."""
-    rows = cut(rows.where("id is not null").groupBy("id").agg(F.min("vector").alias("vector")))
+    """(dims, ids, matrix): int64 matrices of shape (dims, at most size rows), checkpointed; ids holds ids, then row numbers."""
+    rows = rows.where("id is not null").select("id", "row", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -58,12 +72,12 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         def out(dims: int) -> pa.RecordBatch:
             ids, vectors = held.pop(dims)
             matrix = np.ascontiguousarray(np.array(vectors, np.int64).T)
-            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], names=["dims", "ids", "matrix"])
+            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([np.array(ids, np.int64).T.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], names=["dims", "ids", "matrix"])
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, vectors = held.setdefault(len(v), ([], []))
-                ids.append(i)
+                ids.append((i, n))
                 vectors.append(v)
                 if len(ids) == size:
                     yield out(len(v))
@@ -78,13 +92,16 @@ def _dot(a: np.ndarray, b: np.ndarray, exact: type) -> np.ndarray:
     return a.astype(exact).T @ b.astype(exact)
 
 
-def search_block(best: list[tuple[np.ndarray, np.ndarray]], q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> None:
-    """Merge the candidates c into best, (scores, ids) for every query of q; both matrices are vertical."""
+def search_block(best: list[tuple[np.ndarray, np.ndarray]], floor: np.ndarray, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> None:
+    """Merge the candidates c into best, (scores, [ids, row numbers]) for every query of q; both matrices are vertical.
+
+    Ids are pairs of rows: ids and row numbers. floor is what a candidate must reach for each query.
+    """
     dims, size = q.shape[0], float(max(1, np.abs(q).max(initial=0))) * float(max(1, np.abs(c).max(initial=0)))
     exact = np.float64 if size * dims < 2**53 else np.int64 if size * dims < 2**63 else object
     rest = lambda m: np.sqrt(np.cumsum((m.astype(np.float64) ** 2)[::-1], axis=0)[::-1])
     q_rest, c_rest = rest(q), rest(c)
-    floor = np.array([s[-1] if len(s) >= k else -np.inf for s, _ in best], np.float64)
+    floor = np.maximum(floor, np.array([s[-1] if len(s) >= k else -np.inf for s, _ in best], np.float64))
     for at in range(0, q.shape[1], 256):
         own = slice(at, min(at + 256, q.shape[1]))
         # while many pairs survive: all pairs of the remaining candidates, a dimension block at a time
@@ -107,7 +124,7 @@ def search_block(best: list[tuple[np.ndarray, np.ndarray]], q_ids: np.ndarray, q
             columns, left, score, alive = columns[some], left[:, some], score[:, some], alive[:, some]
             if alive.size == 0 or alive.mean() < SPARSE:
                 break
-        alive &= q_ids[own][:, None] != c_ids[columns][None]
+        alive &= q_ids[1, own][:, None] != c_ids[1, columns][None]
         qi, ci = np.nonzero(alive)
         score, ci = score[qi, ci], columns[ci]
         # then the surviving pairs alone
@@ -120,46 +137,76 @@ def search_block(best: list[tuple[np.ndarray, np.ndarray]], q_ids: np.ndarray, q
                 keep = bound >= edge[qi] - 1e-6 * (1 + np.abs(edge[qi]))
                 qi, ci, score = qi[keep], ci[keep], score[keep]
         score = score.astype(object if exact is object else np.int64)
-        order = np.lexsort((c_ids[ci], -score, qi)) if exact is not object else np.array(sorted(range(len(qi)), key=lambda j: (qi[j], -score[j], c_ids[ci[j]])), int)
-        qi, ci, score = qi[order], ci[order], score[order]
+        found = c_ids[:, ci]
+        order = np.lexsort((found[1], found[0], -score, qi)) if exact is not object else np.array(sorted(range(len(qi)), key=lambda j: (qi[j], -score[j], *found[:, j])), int)
+        qi, found, score = qi[order], found[:, order], score[order]
         edges = np.searchsorted(qi, np.arange(own.stop - own.start + 1))
         for j in range(own.stop - own.start):
             a, b = edges[j], min(edges[j] + k, edges[j + 1])
             if a == b:
                 continue
-            s, i = np.concatenate([best[at + j][0], score[a:b]]), np.concatenate([best[at + j][1], c_ids[ci[a:b]]])
-            o = np.lexsort((i, -s))[:k] if exact is not object else np.array(sorted(range(len(s)), key=lambda x: (-s[x], i[x]))[:k], int)
-            best[at + j] = (s[o], i[o])
+            s, i = np.concatenate([best[at + j][0], score[a:b]]), np.concatenate([best[at + j][1], found[:, a:b]], axis=1)
+            o = np.lexsort((i[1], i[0], -s))[:k] if s.dtype != object else np.array(sorted(range(len(s)), key=lambda x: (-s[x], *i[:, x]))[:k], int)
+            best[at + j] = (s[o], i[:, o])
+
+
+def _none(queries: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.zeros(0, np.int64), np.zeros((2, 0), np.int64))] * queries
+
+
+def _unpacked(dims: int, ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64).reshape(2, -1), np.frombuffer(matrix, np.int64).reshape(dims, -1)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, id, score) of each query's k largest inner products; inputs are (id bigint, vector array<bigint>)."""
+    """(query_id, rank, id, score) of each query's k largest inner products.
+
+    Inputs are (id bigint, row bigint, vector array<bigint>) with the rows of one numbered() table.
+    """
     c = _blocks(candidates, BLOCK_ROWS).select("dims", F.struct(F.col("ids").alias("c_ids"), F.col("matrix").alias("c")).alias("block"))
     q = _blocks(queries, QUERY_ROWS).select("dims", F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
     runs = max(1, -(-c.count() // RUN))
     c = c.groupBy("dims", F.pmod(F.xxhash64("block.c_ids"), F.lit(runs)).alias("run")).agg(F.collect_list("block").alias("cs"))
-    met = q.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).join(c, ["dims", "run"])
+    probe = c.groupBy("dims").agg(F.min_by(F.get("cs", F.lit(0)), "run").alias("probe"))  # a block for each length
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floors = []
+            for x in batch.to_pylist():
+                ids, m = _unpacked(x["dims"], x["q_ids"], x["q"])
+                best, none = _none(m.shape[1]), np.full(m.shape[1], -np.inf)
+                search_block(best, none, ids, m, *_unpacked(x["dims"], x["probe"]["c_ids"], x["probe"]["c"]), k)
+                floors.append(np.array([s[k - 1] if len(s) == k else -np.inf for s, _ in best], np.float64).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(floors, pa.binary())], names=["dims", "q_ids", "q", "floor"])
+
+    probe = F.broadcast(probe) if c.select("dims").distinct().count() <= BROADCAST_LENGTHS else probe
+    q = cut(map_batches(q.join(probe, "dims").select("dims", "q_ids", "q", "probe"), first, "dims int, q_ids binary, q binary, floor binary"))
+    tiles = max(1, -(-q.count() // TILE))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("tile", F.pmod(F.xxhash64("q_ids"), F.lit(tiles))).withColumn("run", every(runs))
+    met = q.join(c.withColumn("tile", every(tiles)), ["dims", "run", "tile"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                q_ids, m = np.frombuffer(x["q_ids"], np.int64), np.frombuffer(x["q"], np.int64).reshape(x["dims"], -1)
-                best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
+                q_ids, m = _unpacked(x["dims"], x["q_ids"], x["q"])
+                best, floor = _none(m.shape[1]), np.frombuffer(x["floor"], np.float64)
                 for block in x["cs"]:
-                    search_block(best, q_ids, m, np.frombuffer(block["c_ids"], np.int64), np.frombuffer(block["c"], np.int64).reshape(x["dims"], -1), k)
-                sizes = [len(s) for s, _ in best]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]).astype(np.int64))], names=["query_id", "id", "score"])
+                    search_block(best, floor, q_ids, m, *_unpacked(x["dims"], block["c_ids"], block["c"]), k)
+                of, ids = np.repeat(q_ids, [len(s) for s, _ in best], axis=1), np.concatenate([i for _, i in best], axis=1)
+                scores = np.array([min(max(int(v), LOW), HIGH) for s, _ in best for v in s], np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (*of, *ids, scores))], names=["query_id", "query_row", "id", "row", "score"])
 
-    found = map_batches(met.select("dims", "q_ids", "q", "cs"), run, "query_id bigint, id bigint, score bigint")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    found = map_batches(met.select("dims", "q_ids", "q", "floor", "cs"), run, "query_id bigint, query_row bigint, id bigint, row bigint, score bigint")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 ORACLE_SQL = f"""
-WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 QUALIFY rank <= {K}
 """

@@ -159,7 +159,7 @@ def test_components_of_paths_and_stars(spark):
 
 def test_line_dedup(spark):
     texts = [f"common\nown {i}\n \ncommon " for i in range(12)] + [None, "", "common"]
-    out = {r["doc_id"]: r for r in linededup.drop_boilerplate(docs(spark, texts, ["a", "b", None]).drop("_lines")).collect()}
+    out = {r["doc_id"]: r for r in linededup.drop_boilerplate(docs(spark, texts, ["a", "b", None])).collect()}
     assert out[0]["text"] == "own 0\n " and out[0]["_lines"]["n_dropped"] == 2 and out[12]["text"] is None
     assert out[0]["row"] == out[0]["host"] == 7 and out[14]["text"] == "" and out[2]["source"] is None
     few = {r["doc_id"]: r["text"] for r in linededup.drop_boilerplate(docs(spark, texts, ["a", "b", None]), min_pages=100, details=False).collect()}
@@ -216,28 +216,40 @@ def test_top_k_is_exact(spark):
     rng = np.random.default_rng(6)
     vectors = rng.integers(-40, 40, (260, 40))
     vectors[50:60] = vectors[7]  # ties
-    rows = [(i, [int(x) for x in v]) for i, v in enumerate(vectors)] + [(900, [2**40, 3] * 20), (901, [1, 2]), (None, [1] * 40), (7, [int(x) for x in vectors[7]])]
-    df = spark.createDataFrame(rows, "id long, vector array<long>").withColumn("rank", F.lit(1))
+    rows = [(i, [int(x) for x in v]) for i, v in enumerate(vectors)] + [(900, [2**40, 3] * 20), (901, [1, 2]), (None, [1] * 40)]
+    rows += [(7, [int(x) for x in vectors[7]]), (7, [int(x) for x in vectors[8]]), (20, [int(x) for x in vectors[21]])]  # ids that repeat
+    df = topk.numbered(spark.createDataFrame(rows, "id long, vector array<long>").withColumn("rank", F.lit(1)))
     got = {}
     for r in topk.top_k(df.where("id % 20 = 0"), df, 20).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
-    own = {i: v for i, v in rows if i is not None}
-    for q in range(0, 260, 20):
-        best = sorted(((-sum(a * b for a, b in zip(own[q], v, strict=True)), i) for i, v in own.items() if i != q and len(v) == 40))[:20]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    own = [(i, v) for i, v in rows if i is not None]
+    want = {}
+    for n, (q, x) in enumerate(own):
+        if q % 20 == 0 and len(x) == 40:
+            best = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for m, (i, v) in enumerate(own) if m != n and len(v) == 40)[:20]
+            want.setdefault(q, []).extend((n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert len(want[20]) == 40 and {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
     assert topk.top_k(df.where("false"), df).count() == 0 and topk.top_k(df, df.where("false")).count() == 0
 
 
+def test_top_k_beyond_64_bits(spark):
+    df = topk.numbered(spark.createDataFrame([(i, [2**62 - i] * 4) for i in range(5)], "id long, vector array<long>"))
+    got = topk.top_k(df.where("id = 0"), df, 3).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, 2**63 - 1)]
+
+
 def test_top_k_prunes_nothing_that_counts():
     rng = np.random.default_rng(8)
     q, c = rng.integers(-60, 60, (48, 5)), rng.integers(-60, 60, (48, 400))
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 5
-    for at in range(0, 400, 100):
-        topk.search_block(best, np.arange(1000, 1005), q, np.arange(at, at + 100), c[:, at : at + 100], 20)
-    for j, (s, i) in enumerate(best):
-        full = q[:, j] @ c
-        order = np.lexsort((np.arange(400), -full))[:20]
-        assert list(i) == list(order) and list(s) == list(full[order])
+    numbers = lambda lo, hi: np.array([np.arange(lo, hi)] * 2)
+    for floor in (-np.inf, 0.0):
+        best = topk._none(5)
+        for at in range(0, 400, 100):
+            topk.search_block(best, np.full(5, floor), numbers(1000, 1005), q, numbers(at, at + 100), c[:, at : at + 100], 20)
+        for j, (s, i) in enumerate(best):
+            full = q[:, j] @ c
+            order = np.lexsort((np.arange(400), -full))[:20]
+            assert list(i[0]) == list(order) and list(s) == list(full[order])
 
 
 def test_embedding_near_duplicates(spark):
