@@ -1,19 +1,21 @@
 """Quality classifier on supervised subword embeddings.
 
 A document is the mean of the learned vectors of its features: hashed words,
-hashed character n-grams of words, and the word bigram in which the second word
-repeats the first. A softmax layer over that mean gives the score. Vectors and
-layer are trained together by numpy stochastic gradient descent.
+hashed character n-grams of words, and one vector for words that repeat the word
+before them, which no n-gram of a single word can show. A softmax layer over that
+mean gives the score. Vectors and layer are trained together by numpy
+stochastic gradient descent.
 
 The layer is linear, so it is applied to the vectors once after training: every
 bucket then has one number, a word's sum is remembered, and scoring a whole text
-is a sum over its words.
+is a sum over its words. A very long word is taken in blocks.
 
-Fitting uses at most FIT_DOCS labelled texts of each class, those with the
-smallest hashes of their ids, and FIT_WORDS words, spread evenly, of each text.
+Fitting uses at most FIT_DOCS labelled texts of each class, whole, of FIT_BYTES in
+both classes; which ones, a hash of id and text decides over all labelled rows.
 
 Defined results: a null, empty or blank text gets the score of a document
-without features; labels that are null or not 0 or 1 teach nothing; without
+without features; labels that are null or not 0 or 1 teach nothing; an id with
+two labels counts as class 1; rows that repeat id and text teach once; without
 labels of both classes every score is 0.5; repeated rows stay; an empty table
 gives no rows. Extra columns are ignored.
 """
@@ -31,32 +33,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import map_batches
+from corpuscle.llm.common import bounded_sample, map_batches
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 17, 8, (3, 4)
-FIT_DOCS, FIT_WORDS, EPOCHS, RATE, SEED = 1500, 400, 12, 2.0, 11
-#: A longer text is fitted on this many characters of it, in so many pieces.
-FIT_CHARS, FIT_PIECES = 20_000, 20
+EPOCHS, RATE, SEED = 6, 2.0, 11
+#: Bounds of the fitted sample: texts of a class, bytes in all, and the length from which texts are taken last.
+FIT_DOCS, FIT_BYTES, FIT_LONG = 1000, 32 << 20, 8 << 10
 #: Words remembered per Python worker, and the longest one remembered.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Bytes of a word that are taken at a time.
+BLOCK = 1 << 14
 #: The feature of a word that repeats the one before it.
 REPEAT = 0
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams."""
-    data = f"<{word}>".encode("utf-8", "surrogatepass").decode("latin-1")
-    grams = [data[i : i + n] for n in SIZES for i in range(len(data) - n + 1)]
-    return [1 + zlib.crc32(g.encode("latin-1")) % (BUCKETS - 1) for g in [" " + data, *grams]]
+def features(word: str) -> Iterator[list[int]]:
+    """Buckets of a word and of its character n-grams, in blocks."""
+    data = f"<{word}>".encode("utf-8", "surrogatepass")
+    crc = zlib.crc32
+    yield [1 + crc(b" " + data) % (BUCKETS - 1)]
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK + SIZES[-1] - 1]
+        yield [1 + crc(part[i : i + n]) % (BUCKETS - 1) for n in SIZES for i in range(min(BLOCK, len(part) - n + 1))]
 
 
-def document(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of a text and their shares."""
+def document(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text and their shares; known remembers the features of words."""
     words = text.split()
+    for w in set(words) - known.keys():
+        known[w] = np.array([f for block in features(w) for f in block])
     repeats = sum(map(operator.eq, words, words[1:]))
-    step = max(1, -(-len(words) // FIT_WORDS))
-    used = words[::step]
-    ids, counts = np.unique(np.array([f for w in used for f in features(w)] + [REPEAT] * (repeats // step), np.int64), return_counts=True)
+    found = [*map(known.__getitem__, words), np.full(repeats, REPEAT)]
+    ids, counts = np.unique(np.concatenate(found), return_counts=True)
     return ids, counts / max(1, counts.sum())
 
 
@@ -66,7 +74,8 @@ def fit(texts: list[str], labels: list[int]) -> tuple[float, bytes]:
         return 0.0, b""
     rng = np.random.default_rng(SEED)
     vectors, out, bias = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)) / DIMENSIONS, rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
-    docs, y = [document(t) for t in texts], np.array(labels)
+    known: dict[str, np.ndarray] = {}
+    docs, y = [document(t, known) for t in texts], np.array(labels)
     steps, done = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(docs)):
@@ -93,8 +102,9 @@ class Scorer:
         self.words: dict[str, complex] = {}
 
     def word(self, word: str) -> complex:
-        found = features(word)
-        value = complex(sum(map(self.weights.__getitem__, found)), len(found))
+        value = 0j
+        for block in features(word):
+            value += complex(sum(map(self.weights.__getitem__, block)), len(block))
         if len(word) <= CACHE_LENGTH:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
@@ -122,13 +132,10 @@ def scorer(model: tuple[float, bytes]) -> Scorer:
 def train(docs: DataFrame, labels: DataFrame, keep: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> tuple[float, bytes]:
     """The model learned from labels whose rows keep holds for."""
     known = labels.where(keep & F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
-    drawn = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(FIT_DOCS) for c in (0, 1)]
-    # of a very long text, pieces spread evenly, so that the sample is bounded in bytes too
-    text = F.col(text_column).cast("string")
-    pieces = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(FIT_PIECES - 1)), lambda i: F.substr(text, (1 + i * F.length(text) / FIT_PIECES).cast("int"), F.lit(FIT_CHARS // FIT_PIECES))), " ")
-    sample = docs.select(F.col(id_column).alias("id"), F.when(F.length(text) > FIT_CHARS, pieces).otherwise(text).alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
-    rows = sorted((str(r["id"]), r["label"], r["text"] or "") for r in sample.collect())
-    return fit([t for _, _, t in rows], [c for _, c, _ in rows])
+    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    sample = bounded_sample(texts.join(known, "id"), "label", FIT_DOCS, FIT_BYTES, FIT_LONG).collect()
+    rows = sorted((r["label"], r["rank"], r["text"]) for r in sample)
+    return fit([t for _, _, t in rows], [c for c, _, _ in rows])
 
 
 def score(docs: DataFrame, model: tuple[float, bytes], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
