@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.shared import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that spark.checkpoint.dir names, or in a temporary one where it is unset."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+#: Levels that are kept apart before the visited nodes are written as one table again.
+COMPACT = 16
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> DataFrame:
@@ -25,29 +22,35 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> Da
 
 def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, hop): seeds' undirected neighbours at distance one or two, seeds left out."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    one = both.join(seeds, both["src"] == seeds["node"]).select(F.col("dst").alias("node")).distinct().join(seeds, "node", "left_anti")
-    two = both.join(one, both["src"] == one["node"]).select(F.col("dst").alias("node")).distinct().join(seeds, "node", "left_anti").join(one, "node", "left_anti")
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = lambda of: both.join(of.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+    one = cut(near(seeds).join(seeds, "node", "left_anti"))
+    two = near(one).join(seeds, "node", "left_anti").join(one, "node", "left_anti")
     return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int = 50, directed: bool = False) -> DataFrame:
-    """(node, hop, parent): breadth-first levels from seeds(node), a frontier at a time.
+def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
+    """(node, hop, parent): breadth-first levels from seeds(node), a frontier at a time, to the last one or to max_hops.
 
-    Each round joins the frontier with the edges and drops what was visited; rounds
-    are checkpointed. The parent is the smallest one of the level before.
+    The edges are written once, dealt by source. Each round joins the frontier with
+    them and drops what was visited; only the new level is written. The parent is the
+    smallest one of the level before.
     """
     both = edges.select("src", "dst") if directed else edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = both.distinct()
-    frontier = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent")))
-    visited = frontier
-    for hop in range(1, max_hops + 1):
+    both = cut(both.distinct().repartition("src"))
+    levels = [cut(seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent")))]
+    frontier, hop = levels[0], 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = both.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        visited = reduce(DataFrame.unionByName, levels)
         frontier = cut(step.join(visited.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"), "parent"))
         if frontier.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier))
-    return visited
+        levels.append(frontier)
+        if len(levels) > COMPACT:
+            levels = [cut(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 6) -> DataFrame:

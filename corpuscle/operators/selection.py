@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.shared import cut
+
 
 def greedy_budget(df: DataFrame, group: str, item: str, score: str, tokens: str, budget: int, max_files: int = 40) -> DataFrame:
     """(group, item, action, spent): items by falling score; one that does not fit is skipped and later ones still may.
@@ -42,7 +44,10 @@ def greedy_budget(df: DataFrame, group: str, item: str, score: str, tokens: str,
 
 
 def diverse_top_k(df: DataFrame, group: str, item: str, score: str, terms: str, k: int = 3, weight: float = 70.0) -> DataFrame:
-    """(group, item, pick): k rounds of the best score less weight times the largest Jaccard similarity to earlier picks."""
+    """(group, item, pick): k rounds of the best score less weight times the largest Jaccard similarity to earlier picks.
+
+    A round is written once, so that the next one does not repeat it twice.
+    """
     left = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).cast("double").alias("s"), F.array_distinct(terms).alias("t"), F.lit(0.0).alias("near"))
     picks = None
     for pick in range(1, k + 1):
@@ -52,7 +57,8 @@ def diverse_top_k(df: DataFrame, group: str, item: str, score: str, terms: str,
         picks = own if picks is None else picks.unionByName(own)
         union = F.size(F.array_union("t", "bt"))
         similar = F.when(union > 0, F.size(F.array_intersect("t", "bt")) / union).otherwise(0.0)
-        left = left.join(chosen, "g").where("i <> bi").select("g", "i", "s", "t", F.greatest("near", similar).alias("near"))
+        if pick < k:
+            left = cut(left.join(chosen, "g").where("i <> bi").select("g", "i", "s", "t", F.greatest("near", similar).alias("near")))
     return picks.withColumnsRenamed({"g": group, "i": item})
 
 

@@ -93,11 +93,10 @@ def term_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.document_frequency(docs, text.ordered_tokens(F.col("text"))).crossJoin(F.broadcast(total)).select("term", "df", F.round(rel.rarity(F.col("n"), F.col("df")), 9).alias("rarity"))
 
 
-@query("STR03", f"WITH t AS (SELECT doc_id, {WORDS_SQL} AS t FROM documents), b AS (SELECT unnest(list_distinct(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]))) AS bigram FROM t) SELECT bigram, count(*) AS df FROM b GROUP BY bigram HAVING count(*) > 1")
+@query("STR03", f"WITH t AS (SELECT doc_id, {WORDS_SQL} AS t FROM documents), b AS (SELECT unnest(list_distinct(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]))) AS bigram FROM t) SELECT bigram, count(*) AS df FROM b GROUP BY bigram")
 def bigram_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = text.bigrams(F.col("t"))
-    found = files(spark, sf_dir).select(text.ordered_tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    return found.where("n > 1").select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("df"))
+    found = files(spark, sf_dir).select(text.ordered_tokens(F.col("text")).alias("t"))
+    return found.select(F.explode(text.bigrams(F.col("t"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("df"))
 
 
 def rarity_by_workspace(docs: DataFrame, items: Column, name: str, counted: Column | None = None) -> DataFrame:
@@ -109,7 +108,12 @@ def rarity_by_workspace(docs: DataFrame, items: Column, name: str, counted: Colu
     return found.select("source", name, "df", F.round(rel.rarity(F.col("n"), F.col("df")), 9).alias("rarity"))
 
 
-@query("AGG03 MTH02", f"WITH t AS (SELECT source, unnest(list_distinct({WORDS_SQL})) AS term FROM documents) SELECT source, term, count(*) AS df FROM t GROUP BY GROUPING SETS ((term), (source, term)) HAVING count(*) > 2")
+RARITY_SQL = f"""WITH d AS (SELECT coalesce(source, '(root)') AS source, list_distinct({WORDS_SQL}) AS t FROM documents), k AS (SELECT * FROM d WHERE len(t) > 0),
+n AS (SELECT source, count(*) AS n FROM k GROUP BY GROUPING SETS ((), (source))), x AS (SELECT source, term, count(*) AS df FROM (SELECT source, unnest(t) AS term FROM k) GROUP BY GROUPING SETS ((term), (source, term)))
+SELECT x.source, term, df, round(CASE WHEN n <= 1 THEN 1 ELSE greatest(0, least(1, ln((n + 1) / (df + 1)) / ln(n + 1.0))) END, 9) AS rarity FROM x JOIN n ON x.source IS NOT DISTINCT FROM n.source"""
+
+
+@query("AGG03 MTH02", RARITY_SQL)
 def workspace_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rarity_by_workspace(files(spark, sf_dir), F.array_distinct(text.ordered_tokens(F.col("text"))), "term")
 
