@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuscle import shared
+from corpuscle.shared import cut, join_facts
+
+__all__ = ["bound_batches", "bounded_sample", "cut", "fold", "join_facts", "map_batches", "table"]
+
 #: Rows and bytes that go to a Python worker in one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -25,21 +29,6 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the one that spark.checkpoint.dir names. Only a local master may
-    leave it unset and get a temporary one: a cluster's executors could not share it.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
-
-
 def bounded_sample(rows: DataFrame, classes: str, most_rows: int, most_bytes: int, long: int) -> DataFrame:
     """A sample of rows (id, text, class) with whole texts: at most most_rows of each class, most_bytes of all classes.
 
@@ -65,20 +54,6 @@ def fold(id_column: Column, folds: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: A key with more than 1/HOT of all rows is joined by broadcast: at most HOT such keys exist.
-HOT = 10_000
-
-
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """rows inner-joined with facts, one per key; weight is the key's number of rows, total that of all rows.
-
-    Heavy keys, of which there are at most HOT, never move: their facts go to every
-    task. The rest is a shuffle join in which no key holds more than 1/HOT of the rows.
-    """
-    heavy = facts.where(F.col(weight) > total / HOT)
-    light = facts.where(F.col(weight) <= total / HOT).drop(weight)
-    moved = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
-    return rows.join(F.broadcast(heavy.drop(weight)), keys).unionByName(moved)
+    """A table; documents are dealt to all cores even where its files are too few."""
+    found = shared.table(spark, sf_dir, name)
+    return shared.spread(found) if name == "documents" else found
