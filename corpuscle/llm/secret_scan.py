@@ -8,11 +8,13 @@ letters that never met in the samples are not taken for random.
 
 Spans are code point offsets, end exclusive. Matches are cut out with split() and
 regexp_extract_all(), and their places are sums of the lengths before them, taken
-in blocks, so a text with very many matches costs little more than its length.
+in blocks of blocks, so finding very many matches in a text costs little more than
+its length; redacting cuts parts of the text, not all of it, for each span.
 
 Defined results: a null text has no spans, like an empty one; overlapping kinds
 are all kept; spans of the models that touch a pattern's span are left out;
-repeated rows stay; an empty table gives no rows. Extra columns are kept.
+repeated rows stay; an empty table gives no rows. Extra columns are kept; columns
+named _base and _spans are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ SMOOTHING = 0.2
 SAMPLES = 3000
 PLACEHOLDER = "[secret]"
 
-_BLOCK = 64
+#: Values of a block in running folds, and characters of a part in which a text is cut.
+_BLOCK, _CHUNK = 64, 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,6 +93,21 @@ def _score(token: Column, model: Column) -> Column:
     return let(places, total)
 
 
+def prefix(values: Column, fold: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """The running fold (a sum or a maximum of non-negative integers) of an array, in blocks of blocks.
+
+    A place is folded from at most _BLOCK values and the running fold of whole
+    blocks before it, so the work grows with the length of the array.
+    """
+    if levels == 0:
+        return F.transform(values, lambda v, i: F.aggregate(F.slice(values, F.lit(1), i + 1), F.lit(0), fold))
+    of = lambda part: F.aggregate(part, F.lit(0), fold)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: of(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
+    inside = lambda i: of(F.slice(values, i - i % _BLOCK + 1, i % _BLOCK + 1))
+    whole = let(blocks, lambda x: prefix(x, fold, levels - 1))
+    return let(whole, lambda x: F.transform(values, lambda v, i: fold(inside(i), F.coalesce(F.get(x, F.floor(i / _BLOCK).cast("int") - 1), F.lit(0)))))
+
+
 def _places(text: Column, pattern: str, keep: Callable[[Column, Column], Column], kind: int, values: Callable[[Column], Column]) -> Column:
     """array<struct(start, kind, end)> of the leftmost non-overlapping matches that keep() holds for."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -98,37 +116,43 @@ def _places(text: Column, pattern: str, keep: Callable[[Column, Column], Column]
         gaps, found, kept = x["gaps"], x["found"], x["values"]
         lengths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
 
-        def ends(s: Column) -> Column:
-            inside = lambda i: F.aggregate(F.slice(s, i - i % _BLOCK + 1, i % _BLOCK + 1), F.lit(0), lambda acc, v: acc + v)
-            blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / _BLOCK).cast("int") - 1), lambda b: F.aggregate(F.slice(s, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda acc, v: acc + v))
-            return let(blocks, lambda t: F.transform(s, lambda v, i: inside(i) + F.aggregate(F.slice(t, F.lit(1), F.floor(i / _BLOCK).cast("int")), F.lit(0), lambda acc, w: acc + w)))
-
         def mark(e: Column) -> Column:
             every = F.transform(found, lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), keep(m, F.get(kept, i)).alias("keep")))
             return F.transform(F.filter(every, lambda s: s["keep"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-        return let(let(lengths, ends), mark)
+        return let(let(lengths, lambda n: prefix(n, lambda a, b: a + b)), mark)
 
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), whole.alias("found"), values(whole).alias("values"))
     return F.when(text.rlike(pattern), let(parts, spans)).otherwise(empty)
 
 
+def _apart(more: Column, base: Column) -> Column:
+    """The spans of more that touch none of base, which is sorted; blocks of base that end before or begin after are passed over."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(base) - 1) / _BLOCK).cast("int")),
+        lambda b: let(F.slice(base, b * _BLOCK + 1, F.lit(_BLOCK)), lambda own: F.struct(F.get(own, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(own, lambda t: t["end"])).alias("hi"), own.alias("own"))),
+    )
+    touches = lambda s, t: (t["start"] < s["end"]) & (s["start"] < t["end"])
+    clear = lambda x: F.filter(more, lambda s: ~F.exists(x, lambda b: (b["lo"] < s["end"]) & (s["start"] < b["hi"]) & F.exists(b["own"], lambda t: touches(s, t))))
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), let(blocks, clear)).otherwise(more)
+
+
 def scan(docs: DataFrame, model: list[float], text_column: str = "text") -> DataFrame:
     """The input with _base and _spans: array<struct(start, kind, end)>, sorted; kind indexes KINDS."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    whole = lambda _: F.lit(True)
+    kept = [c for c in docs.columns if c.lower() not in ("_base", "_spans")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    text = F.col("text")
+    table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # one literal, which is folded
+    whole = lambda *_: F.lit(True)
     base = F.concat(
         _places(text, ASSIGN, lambda m, v: F.length(v) >= ASSIGN_LENGTH, 0, lambda _: F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))),
-        _places(text, ACCESS, lambda m, v: whole(m), 1, lambda f: f),
-        _places(text, HEX, lambda m, v: whole(m), 2, lambda f: f),
+        _places(text, ACCESS, whole, 1, lambda f: f),
+        _places(text, HEX, whole, 2, lambda f: f),
     )
-    table = F.lit(model)
     random = lambda m, _: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & let(_score(m, table), lambda s: (s >= LEAST_TOTAL) & (s >= LEAST_MEAN * (F.length(m) - 1)))
-    more = _places(text, TOKEN, random, 3, lambda f: f)
-    rows = docs.withColumn("_base", F.array_sort(base)).withColumn("_more", more)
-    apart = F.filter("_more", lambda s: ~F.exists("_base", lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    return rows.withColumn("_spans", F.array_sort(F.concat("_base", apart))).drop("_more")
+    found = rows.select("row", F.array_sort(base).alias("_base"), _places(text, TOKEN, random, 3, lambda f: f).alias("more"))
+    return found.select(*(F.col("row")[c].alias(c) for c in kept), "_base", F.array_sort(F.concat("_base", _apart(F.col("more"), F.col("_base")))).alias("_spans"))
 
 
 def spelled(spans: Column) -> Column:
@@ -138,21 +162,25 @@ def spelled(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span, overlapping ones as one, replaced by the placeholder."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
+    """The text with every span, overlapping or adjacent ones as one, replaced by the placeholder; spans are sorted."""
+
+    def merged(reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] > F.get(reach, i - 1)))
+        return let(heads, lambda h: F.transform(h, lambda i, n: F.struct(F.get(spans, i)["start"].alias("start"), F.get(reach, F.coalesce(F.get(h, n + 1), F.size(spans)) - 1).alias("end"))))
+
+    of = lambda n: F.floor(n / _CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), of(F.length(text))), lambda i: F.substr(text, i * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def piece(own: Column, a: Column, b: Column) -> Column:
+        part = lambda i: let(F.greatest(a - i * _CHUNK, F.lit(0)), lambda lo: F.substr(F.get(own, i), lo + 1, F.least(b - i * _CHUNK, F.lit(_CHUNK)) - lo))
+        return F.array_join(F.transform(F.sequence(of(a), of(b)), part), "")
 
     def rebuilt(m: Column) -> Column:
-        before = F.transform(m, lambda s, i: F.substr(text, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0))))
-        return F.concat(F.array_join(F.transform(before, lambda x: F.concat(x, F.lit(PLACEHOLDER))), ""), F.substr(text, F.element_at(m, -1)["end"] + 1))
+        joined = lambda own: F.transform(m, lambda s, i: F.concat(piece(own, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)), s["start"]), F.lit(PLACEHOLDER)))
+        return let(chunks, lambda own: F.concat(F.array_join(joined(own), ""), piece(own, F.element_at(m, -1)["end"], F.length(text))))
 
-    return F.when(F.size(spans) > 0, let(merged, rebuilt)).otherwise(text)
+    reach = let(F.transform(spans, lambda s: s["end"]), lambda ends: prefix(ends, lambda a, b: F.greatest(a, b)))  # how far the spans up to this one go
+    return F.when(F.size(spans) > 0, let(let(reach, merged), rebuilt)).otherwise(text)
 
 
 def redacted(docs: DataFrame, model: list[float], text_column: str = "text") -> DataFrame:
