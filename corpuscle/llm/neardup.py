@@ -19,7 +19,9 @@
 5. Ball pairs whose angle and radii settle all member pairs are counted as a
    whole; the others are verified member by member in double precision, in blocks.
 6. Audit: for a bounded sample of leaders the pairs in range are found by brute
-   force; below the target recall the search is repeated with more overlap.
+   force, each weighing as much as the links it stands for; below the target recall
+   the search is repeated with more overlap. If the last one still is below it, all
+   leaders of a label are compared in blocks: an exact way that costs their square.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null label, link with nothing and are components of
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpuscle.llm.common import cut, join_facts, map_batches
@@ -43,11 +45,11 @@ from corpuscle.llm.components import components
 COSINE = 0.93
 #: Nodes of a shard, nearest cells of a leader, edges that pruning keeps, its slack, candidates per node, beam of the search.
 SHARD, OVERLAP, DEGREE, SLACK, NEAREST, BEAM = 1500, 2, 16, 1.2, 48, 24
-#: Bounds of the fitted part: labels that get centroids (the largest), centroids of a label, sampled vectors in all.
-FIT_LABELS, FIT_CELLS, FIT_SAMPLE = 512, 64, 20_000
-#: Leaders audited, least recall, and the largest overlap tried.
-AUDIT, TARGET, MOST_OVERLAP = 256, 0.99, 8
-#: Members of a block in verification.
+#: Bounds of the fitted part: labels that get centroids (the largest), centroids of a label, sampled vectors in all and for each centroid.
+FIT_LABELS, FIT_CELLS, FIT_SAMPLE, FIT_LEAST = 512, 2048, 20_000, 8
+#: Leaders audited (and how many if none of them has a pair in range), least recall, and the largest overlap tried.
+AUDIT, AUDIT_MORE, TARGET, MOST_OVERLAP = 256, 4096, 0.99, 8
+#: Vectors of a block that meets another one.
 BLOCK = 1024
 _EDGE = 1e-9
 
@@ -78,7 +80,7 @@ def centroids(found: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     total = sum(r["count"] for r in big)
     share = min(1.0, FIT_SAMPLE / total)
     keys = found.sparkSession.createDataFrame([(str(r["label"]), r["dims"]) for r in big], "key string, dims int")
-    drawn = found.withColumn("key", F.col("label").cast("string")).join(F.broadcast(keys), ["key", "dims"]).where(F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < int(share * 1e6))
+    drawn = found.withColumn("key", F.col("label").cast("string")).join(F.broadcast(keys), ["key", "dims"]).where(F.xxhash64("unit").cast("double") / 2.0**64 + 0.5 <= share)
     groups: dict[tuple[str, int], list] = {}
     for r in drawn.select("key", "dims", "unit").collect():
         groups.setdefault((r["key"], r["dims"]), []).append(r["unit"])
@@ -86,7 +88,7 @@ def centroids(found: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     out = {}
     for key, vectors in groups.items():
         v = np.array(sorted(vectors))
-        k = min(FIT_CELLS, len(v), -(-sizes[key] // SHARD) + 1)
+        k = min(FIT_CELLS, max(1, len(v) // FIT_LEAST), -(-sizes[key] // SHARD) + 1)
         c = v[np.random.default_rng(5).choice(len(v), k, replace=False)]
         for _ in range(6):
             near = (v @ c.T).argmax(axis=1)
@@ -303,9 +305,22 @@ def search(placed: DataFrame, adjacency: DataFrame) -> DataFrame:
         outside = ordered(both.join(adjacency.select(F.col("ball").alias("b"), F.explode("next").alias("c")), "b").select("a", F.col("c").alias("b")))
 
 
+def _in_range(cosine: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return _angle(cosine) <= np.arccos(COSINE) + r + s + _EDGE
+
+
 def audit(leaders: DataFrame, found: DataFrame) -> float:
-    """The share of the pairs in range of a bounded sample of leaders, found by brute force, that the search has too."""
-    sample = leaders.orderBy(F.xxhash64("ball"), "ball").limit(AUDIT).select("ball", "key", "unit", "radius").collect()
+    """The share of the links that a bounded sample of leaders stands for, found by brute force, that the search has too."""
+    for size in (AUDIT, AUDIT_MORE):
+        links = _audit(leaders, found, size)
+        if links["n"]:
+            return float(links["hit"] / links["n"])
+    return 1.0
+
+
+def _audit(leaders: DataFrame, found: DataFrame, size: int) -> Row:
+    """n, hit: links between the balls of pairs in range of size leaders, and those of pairs that were found."""
+    sample = leaders.orderBy(F.xxhash64("ball"), "ball").limit(size).select("ball", "key", "unit", "radius").collect()
     groups: dict[str, list] = {}
     for r in sample:
         groups.setdefault(r["key"], []).append((r["ball"], r["unit"], r["radius"]))
@@ -318,14 +333,40 @@ def audit(leaders: DataFrame, found: DataFrame) -> float:
             for ball, key, unit, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key in shared.value:
                     ids, v, r = shared.value[key]
-                    close = (_angle(v @ np.array(unit)) <= np.arccos(COSINE) + r + radius) & (ids != ball)
+                    close = _in_range(v @ np.array(unit), r, np.float64(radius)) & (ids != ball)
                     out += [(min(ball, int(i)), max(ball, int(i))) for i in ids[close]]
             a, b = list(zip(*out, strict=True)) or ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     true = map_batches(leaders.select("ball", "key", "unit", "radius"), run, "a bigint, b bigint").distinct()
-    row = true.join(found.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return row["hit"] / row["n"] if row["n"] else 1.0
+    side = lambda x: leaders.select(F.col("ball").alias(x), F.col("total").cast("double").alias(f"t{x}"))
+    weighed = true.join(side("a"), "a").join(side("b"), "b").join(found.withColumn("hit", F.lit(True)), ["a", "b"], "left").withColumn("links", F.col("ta") * F.col("tb"))
+    return weighed.agg(F.coalesce(F.sum("links"), F.lit(0.0)).alias("n"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("links"))), F.lit(0.0)).alias("hit")).first()
+
+
+def every_pair(leaders: DataFrame) -> DataFrame:
+    """(a, b) all leader pairs in range, with a < b: every block of a label meets every other one."""
+    sizes = leaders.groupBy("key").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = join_facts(leaders.select("ball", "key", "unit", "radius"), sizes, ["key"], "n", leaders.count()).withColumn("chunk", F.pmod(F.xxhash64("ball"), F.col("chunks")).cast("int"))
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        one = {c: [own[c].iloc[0]] for c in ("key", "chunk")}
+        return pd.DataFrame(one | {"ids": [own["ball"].to_numpy(np.int64).tobytes()], "radii": [own["radius"].to_numpy(np.float64).tobytes()], "units": [np.stack(own["unit"].to_numpy()).astype(np.float64).tobytes()]})
+
+    blocks = cut(dealt.select("key", "chunk", "ball", "unit", "radius").groupBy("key", "chunk").applyInPandas(pack, "key string, chunk int, ids binary, radii binary, units binary"))
+    other = blocks.withColumn("chunk", F.explode(F.expr("sequence(0, chunk)"))).withColumnsRenamed({c: f"{c}_b" for c in ("ids", "radii", "units")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                ia, ib = (np.frombuffer(x[c], np.int64) for c in ("ids", "ids_b"))
+                ra, rb = (np.frombuffer(x[c]) for c in ("radii", "radii_b"))
+                ua, ub = np.frombuffer(x["units"]).reshape(len(ia), -1), np.frombuffer(x["units_b"]).reshape(len(ib), -1)
+                i, j = np.nonzero(_in_range(ua @ ub.T, ra[:, None], rb[None]))
+                a, b = np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["a", "b"])
+
+    return cut(map_batches(blocks.join(other, ["key", "chunk"]), run, "a bigint, b bigint").distinct())
 
 
 def _members(pairs: DataFrame, members: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
@@ -373,7 +414,10 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
         edges = placed.select("key", "cell", "sub", "ball", "unit").groupBy("key", "cell", "sub").applyInPandas(graph, "a bigint, b bigint")
         adjacency = cut(edges.groupBy(F.col("a").alias("ball")).agg(F.collect_set("b").alias("next")))
         pairs = search(placed, adjacency)
-        if overlap >= MOST_OVERLAP or audit(placed.where("place = 0"), pairs) >= TARGET:
+        if audit(placed.where("place = 0"), pairs) >= TARGET:
+            break
+        if overlap >= MOST_OVERLAP:
+            pairs = every_pair(placed.where("place = 0"))
             break
         overlap *= 2
     facts = leaders.select("ball", "unit", "radius", "total")

@@ -284,6 +284,18 @@ def test_embedding_recall_over_several_shards(spark, monkeypatch):
     assert all(got[i] <= want[i] for i in range(600)) and sum(got.values()) >= 0.98 * want.sum() > 0
 
 
+def test_embedding_search_that_finds_nothing_is_made_good(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "search", lambda placed, adjacency: placed.select(F.col("ball").alias("a"), F.col("ball").alias("b")).where("false"))
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(120, 16))
+    v[60:] = v[:60] + rng.normal(scale=0.08, size=(60, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in a], 1) for i, a in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()}
+    assert list(map(got.get, range(120))) == list(((v @ v.T) >= 0.93).sum(axis=1) - 1) and sum(got.values()) > 0
+
+
 def test_language_identification(spark):
     rng = random.Random(11)
     texts = [words(rng, rng.randint(5, 200), EN if i % 2 else FR) for i in range(400)] + ODD
