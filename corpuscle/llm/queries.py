@@ -34,7 +34,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train(secret_scan.labelled_samples(table(spark, sf_dir, "benchmark")))
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    of = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("bigint")
+    counts = [of(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secret_scan.spelled(F.col("_base")), 256).alias("base_sha256"), secret_scan.spelled(F.col("_spans")).alias("spans"))
 
 
