@@ -114,7 +114,7 @@ def task_kind(text: Column) -> Column:
     total = sum(counts, F.lit(0))
     best = F.greatest(*(F.struct(c.alias("n"), F.lit(len(TASK_KINDS) - i).alias("priority"), F.lit(k).alias("kind")) for i, ((k, _), c) in enumerate(zip(TASK_KINDS, counts, strict=True))))
     share = F.least(F.lit(0.95), F.lit(0.45) + best["n"] / F.greatest(F.lit(1), total) * F.lit(0.45))
-    return F.struct(F.when(total == 0, "general").otherwise(best["kind"]).alias("kind"), F.when(total == 0, F.lit(0.2)).otherwise(share).alias("confidence"), total.cast("bigint").alias("hits"))
+    return F.struct(F.when(total == 0, "general").otherwise(best["kind"]).alias("kind"), F.when(total == 0, F.lit(0.2)).otherwise(F.round(share, 2)).alias("confidence"), total.cast("bigint").alias("hits"))
 
 
 def miss_type(found: Column, scored: Column, rank: Column, score: Column, status: Column, selected: Column) -> Column:

@@ -15,9 +15,8 @@ RANKED_SQL = "ranked AS (SELECT doc_id, source, lang, length(text) // 4 AS token
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents ranked within their source by size."""
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    rows = rows.select("doc_id", "source", "lang", F.floor(F.length("text") / 4).alias("tokens"), (F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("noise"))
-    size = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
-    return rows.join(size, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "doc_id"))).drop("n")
+    rows = rows.select("doc_id", "source", "lang", F.floor(F.length("text") / 4).alias("tokens"), (F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("noise"), F.length("text").alias("n"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "doc_id"))).drop("n")
 
 
 @query("SET04 EVL01", f"WITH {RANKED_SQL}, m AS (SELECT source, count(*) FILTER (WHERE rank <= 10 AND expected) / count(*) FILTER (WHERE rank <= 10) AS p, count(*) FILTER (WHERE rank <= 10 AND expected) / nullif(count(*) FILTER (WHERE expected), 0) AS r FROM ranked GROUP BY source) SELECT source, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 9) ELSE 0 END AS f1 FROM m")
@@ -35,10 +34,17 @@ def precision_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "k").agg((hit / F.nullif(F.count_if("expected"), F.lit(0))).alias("recall"), (hit / F.count_if(F.col("rank") <= F.col("k"))).alias("precision"))
 
 
-@query("WIN07", f"WITH {RANKED_SQL} SELECT source, coalesce(1 / min(rank) FILTER (WHERE NOT expected), 0) AS mrr, count(*) FILTER (WHERE rank <= 3 AND noise) / count(*) FILTER (WHERE rank <= 3) AS noise_rate FROM ranked GROUP BY source")
+@query("WIN07", f"""WITH {RANKED_SQL}, m AS (SELECT source, count(*) FILTER (WHERE rank <= 3) AS top, count(*) FILTER (WHERE expected) AS wanted, count(*) FILTER (WHERE noise) AS avoided, count(*) FILTER (WHERE rank <= 3 AND expected) AS hits,
+count(*) FILTER (WHERE rank <= 3 AND noise) AS bad, min(rank) FILTER (WHERE rank <= 3 AND expected) AS first FROM ranked GROUP BY source)
+SELECT source, CASE WHEN wanted > 0 THEN hits / wanted END AS recall, CASE WHEN wanted > 0 THEN hits / top END AS precision, CASE WHEN wanted > 0 THEN coalesce(1 / first, 0) END AS mrr, CASE WHEN avoided > 0 THEN bad / top END AS noise_rate FROM m""")
 def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.min(F.when(~F.col("expected"), F.col("rank")))
-    return ranked(spark, sf_dir).groupBy("source").agg(F.coalesce(1 / first, F.lit(0.0)).alias("mrr"), (F.count_if((F.col("rank") <= 3) & F.col("noise")) / F.count_if(F.col("rank") <= 3)).alias("noise_rate"))
+    """The first three of each source: recall, precision, reciprocal rank of the first expected one, and noise; null where nothing is expected or avoided."""
+    top = F.col("rank") <= 3
+    n, wanted, avoided, hits, bad = F.count_if(top), F.count_if("expected"), F.count_if("noise"), F.count_if(top & F.col("expected")), F.count_if(top & F.col("noise"))
+    first = F.coalesce(1 / F.min(F.when(top & F.col("expected"), F.col("rank"))), F.lit(0.0))
+    return ranked(spark, sf_dir).groupBy("source").agg(
+        F.when(wanted > 0, hits / wanted).alias("recall"), F.when(wanted > 0, hits / n).alias("precision"), F.when(wanted > 0, first).alias("mrr"), F.when(avoided > 0, bad / n).alias("noise_rate")
+    )
 
 
 @query("WIN06", f"""WITH {RANKED_SQL}, e AS (SELECT source, list(rank ORDER BY rank) AS r FROM ranked WHERE expected GROUP BY source) SELECT source, r[1 + CAST(round_even((len(r) - 1) * 0.5, 0) AS INT)] AS median, r[1 + CAST(round_even((len(r) - 1) * 0.9, 0) AS INT)] AS p90, r[1] AS first, r[-1] AS last,

@@ -185,3 +185,16 @@ def test_upsert(spark, event_folder, tmp_path):
     query = events.stream(spark, folder, schema).writeStream.foreachBatch(events.upsert_latest(f"{tmp_path}/latest")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {r.user_id: r.event_id for r in spark.read.parquet(f"{tmp_path}/latest/v=0").collect()} == {0: 38, 1: 39}
+
+
+def test_closure_has_no_end_of_hops(spark):
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", "calls") for i in range(60)], "src string, dst string, type string")
+    found = graph.dependents_closure(chain, spark.createDataFrame([("n060",)], "node string"))
+    assert {r["node"] for r in found.collect()} == {f"n{i:03}" for i in range(61)}
+
+
+def test_binary_by_a_zero_byte_anywhere(spark, tmp_path):
+    for name, data in (("a.txt", b"value 0\n\x00tail"), ("b.txt", b"0\n" * 20), ("c.txt", b"x" * 2000 + b"\x00"), ("d.sh", b"#")):
+        (tmp_path / name).write_bytes(data)
+    found = {r["path"]: (r["bucket"], r["language"]) for r in readers.scan_tree(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in found.items()} == {"a.txt": "binary", "b.txt": "packable", "c.txt": "packable", "d.sh": "packable"} and found["d.sh"][1] == "bash"
