@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuscle import shared
 from corpuscle.shared import cut, join_facts
 
-__all__ = ["bound_batches", "bounded_sample", "cut", "fold", "join_facts", "map_batches", "table"]
+__all__ = ["bound_batches", "bounded_sample", "cut", "fold", "join_facts", "keyed", "map_batches", "table"]
 
 #: Rows and bytes that go to a Python worker in one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -29,23 +29,29 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def bounded_sample(rows: DataFrame, classes: str, most_rows: int, most_bytes: int, long: int) -> DataFrame:
-    """A sample of rows (id, text, class) with whole texts: at most most_rows of each class, most_bytes of all classes.
+def keyed(rows: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of rows (id, text), a hash of id and text, and the text's size: what a sample is drawn from."""
+    return rows.select(*columns, F.xxhash64("id", "text").alias("h"), F.octet_length("text").alias("size"))
 
-    Every class has the same part of the bytes. Rows are taken by a hash of id and
-    text, texts of more than long bytes last; a class's first row always is. Rows that repeat both count once. Far fewer rows than a
-    class has are ranked: those under a share of the hash range that would hold
-    several times the sample, which combines to nothing much whatever the input.
+
+def bounded_sample(texts: DataFrame, keys: DataFrame, classes: str, most_rows: int, most_bytes: int, long: int) -> DataFrame:
+    """(class, rank, text) of a sample of texts(id, text), whole: at most most_rows of each class, most_bytes of all classes.
+
+    keys(class, h, size) are those of keyed(). Every class has the same part of the
+    bytes. Rows are taken by their hash, texts of more than long bytes last; a class's
+    first row always is; rows that repeat both id and text count once. Only keys are
+    shuffled and ranked, and of these no more than several times the sample, those
+    under a share of the hash range. Texts are looked up by the keys that were chosen.
     """
-    hashed = rows.withColumn("h", F.xxhash64("id", "text")).withColumn("size", F.octet_length("text"))
-    counts = hashed.groupBy(classes).agg(F.count("*").alias("n"), F.count_if(F.col("size") <= long).alias("short"))
+    counts = keys.groupBy(classes).agg(F.count("*").alias("n"), F.count_if(F.col("size") <= long).alias("short"))
     share = F.least(F.lit(1.0), F.lit(8.0 * most_rows) / F.when(F.col("short") > most_rows, F.col("short")).otherwise(F.col("n")))
     per_class = counts.select(classes, share.alias("share"), (F.lit(most_bytes) / F.count("*").over(Window.partitionBy())).alias("budget"))  # a row for each class
-    near = hashed.join(F.broadcast(per_class), classes).where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
+    near = keys.join(F.broadcast(per_class), classes).where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
     order = Window.partitionBy(classes).orderBy(F.col("size") > long, "h")
     ranked = near.dropDuplicates([classes, "h"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_rows)
     spent = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("spent", spent).where((F.col("rank") == 1) | (F.col("spent") <= F.col("budget"))).select(classes, "rank", "text")
+    chosen = ranked.withColumn("spent", spent).where((F.col("rank") == 1) | (F.col("spent") <= F.col("budget"))).select(classes, "rank", "h")
+    return keyed(texts, "text").drop("size").join(F.broadcast(chosen), "h").groupBy(classes, "rank").agg(F.any_value("text").alias("text"))
 
 
 def fold(id_column: Column, folds: int) -> Column:

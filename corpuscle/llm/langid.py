@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from corpuscle.llm.common import bounded_sample, map_batches
+from corpuscle.llm.common import bounded_sample, keyed, map_batches
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 7
@@ -184,7 +184,8 @@ def predictor(packed) -> Predictor:
 def train(docs: DataFrame, keep: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang"):
     """The packed model learned from the rows of docs that keep holds for."""
     rows = docs.where(keep).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    sample = bounded_sample(rows.where("text is not null and lang is not null"), "lang", FIT_DOCS, FIT_BYTES, FIT_LONG).collect()
+    rows = rows.where("text is not null and lang is not null")
+    sample = bounded_sample(rows, keyed(rows, "lang"), "lang", FIT_DOCS, FIT_BYTES, FIT_LONG).collect()
     own = [(r["lang"], windows(r["text"])) for r in sorted(sample, key=lambda r: (r["lang"], r["rank"])) if _LETTER.search(r["text"])]
     if not own:
         return (), ()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import bounded_sample, map_batches
+from corpuscle.llm.common import bounded_sample, keyed, map_batches
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 17, 8, (3, 4)
 EPOCHS, RATE, SEED = 6, 2.0, 11
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, id_column: str = "do
     """The model learned from labels whose rows keep holds for."""
     known = labels.where(keep & F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    sample = bounded_sample(texts.join(known, "id"), "label", FIT_DOCS, FIT_BYTES, FIT_LONG).collect()
+    sample = bounded_sample(texts, keyed(texts, "id").join(known, "id"), "label", FIT_DOCS, FIT_BYTES, FIT_LONG).collect()
     rows = sorted((r["label"], r["rank"], r["text"]) for r in sample)
     return fit([t for _, _, t in rows], [c for c, _, _ in rows])
 
