@@ -29,7 +29,7 @@ def node(spark: SparkSession, *names: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
-@query("GRF01 AGG07", f"WITH {EDGES_SQL} SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, count(*) - count(DISTINCT src || '>' || dst) AS duplicates FROM edges GROUP BY type")
+@query("AGG07", f"WITH {EDGES_SQL} SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, count(*) - count(DISTINCT src || '>' || dst) AS duplicates FROM edges GROUP BY type")
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"), (F.count("*") - F.countDistinct(F.concat_ws(">", "src", "dst"))).alias("duplicates"))
 
@@ -58,7 +58,7 @@ def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_path(edges(spark, sf_dir), "c7", f"r{key['n_regionkey']}")
 
 
-@query("GRF09 STM02", f"WITH RECURSIVE {EDGES_SQL}, walk(node) AS (SELECT 's3' UNION SELECT e.src FROM walk JOIN edges e ON e.dst = walk.node) SELECT node FROM walk")
+@query("GRF09", f"WITH RECURSIVE {EDGES_SQL}, walk(node) AS (SELECT 's3' UNION SELECT e.src FROM walk JOIN edges e ON e.dst = walk.node) SELECT node FROM walk")
 def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that depends on a changed node, to the fixpoint."""
     return graph.dependents_closure(edges(spark, sf_dir), node(spark, "s3"))
@@ -143,21 +143,21 @@ def neighbor_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("path").agg(F.max("score").alias("best"), F.max_by("seed", F.struct("score", -F.col("seed"))).alias("seed"), F.expr("cast(least(24, 8 + 4 * count(distinct seed)) as bigint)").alias("bonus"))
 
 
-@query("JON23 AGG29", "WITH d AS (SELECT l_partkey AS k, count(DISTINCT l_orderkey) AS fan_in, count(DISTINCT l_suppkey) AS fan_out FROM lineitem GROUP BY 1), s AS (SELECT p_partkey, CAST(CASE WHEN fan_in > 30 THEN 3 ELSE 0 END + CASE WHEN fan_out > 10 THEN 2 ELSE 0 END + CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS BIGINT) AS risk FROM part LEFT JOIN d ON k = p_partkey) SELECT risk, count(*) AS n FROM s GROUP BY risk")
+@query("JON23", "WITH d AS (SELECT l_partkey AS k, count(DISTINCT l_orderkey) AS fan_in, count(DISTINCT l_suppkey) AS fan_out FROM lineitem GROUP BY 1), s AS (SELECT p_partkey, CAST(CASE WHEN fan_in > 30 THEN 3 ELSE 0 END + CASE WHEN fan_out > 10 THEN 2 ELSE 0 END + CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS BIGINT) AS risk FROM part LEFT JOIN d ON k = p_partkey) SELECT risk, count(*) AS n FROM s GROUP BY risk")
 def task_map_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     degree = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.countDistinct("l_orderkey").alias("fan_in"), F.countDistinct("l_suppkey").alias("fan_out"))
     points = F.when(F.col("fan_in") > 30, 3).otherwise(0) + F.when(F.col("fan_out") > 10, 2).otherwise(0) + F.when(F.col("p_size") > 25, 1).otherwise(0)
     return read(spark, sf_dir, "part").join(degree, "p_partkey", "left").groupBy(points.cast("bigint").alias("risk")).agg(F.count("*").alias("n"))
 
 
-@query("GRF12 STR18", """WITH a AS (SELECT l_orderkey AS k, l_linenumber * 4 AS s, l_linenumber * 4 + l_partkey % 9 AS e FROM lineitem), w AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a),
+@query("STR18", """WITH a AS (SELECT l_orderkey AS k, l_linenumber * 4 AS s, l_linenumber * 4 + l_partkey % 9 AS e FROM lineitem), w AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a),
 i AS (SELECT *, sum(CASE WHEN s <= reach + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY s, e) AS island FROM w) SELECT k, min(s) AS s, max(e) AS e FROM i GROUP BY k, island""")
 def merged_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 4).cast("bigint").alias("s"), (F.col("l_linenumber") * 4 + F.col("l_partkey") % 9).alias("e"))
     return rel.merge_intervals(spans, ["k"], "s", "e", 2)
 
 
-@query("SET03 JON24", """WITH a AS (SELECT l_partkey AS p, min(l_shipdate) AS m FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT l_partkey AS p, min(l_shipdate) AS m FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1)
+@query("SET03", """WITH a AS (SELECT l_partkey AS p, min(l_shipdate) AS m FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT l_partkey AS p, min(l_shipdate) AS m FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1)
 SELECT CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' WHEN a.m <> b.m THEN 'mode_changed' ELSE 'same' END AS status, count(*) AS n FROM a FULL JOIN b USING (p) GROUP BY 1""")
 def selection_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda r: read(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 2 == r).groupBy(F.col("l_partkey").alias("p")).agg(F.min("l_shipdate").alias("m"))

@@ -61,7 +61,7 @@ def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUCKET_SQL = "CASE WHEN doc_id % 11 = 0 THEN 'changed' WHEN path LIKE 'tests/%' THEN 'tests' WHEN path LIKE 'docs/%' THEN 'docs' ELSE 'rest' END"
 
 
-@query("WIN08 WIN09", f"WITH {P_SQL}, b AS (SELECT *, {BUCKET_SQL} AS bucket FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY tokens DESC, doc_id) AS i FROM b), l AS (SELECT *, CASE WHEN i = 1 THEN CASE bucket WHEN 'changed' THEN 1 WHEN 'tests' THEN 2 WHEN 'docs' THEN 3 ELSE 4 END ELSE 4 END AS lead FROM r) SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lead, tokens DESC, doc_id) AS position FROM l")
+@query("WIN08", f"WITH {P_SQL}, b AS (SELECT *, {BUCKET_SQL} AS bucket FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY tokens DESC, doc_id) AS i FROM b), l AS (SELECT *, CASE WHEN i = 1 THEN CASE bucket WHEN 'changed' THEN 1 WHEN 'tests' THEN 2 WHEN 'docs' THEN 3 ELSE 4 END ELSE 4 END AS lead FROM r) SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lead, tokens DESC, doc_id) AS position FROM l")
 def reserved_bucket_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files(spark, sf_dir).withColumn("bucket", F.expr(BUCKET_SQL))
     out = selection.bucket_order(rows, ["source"], "bucket", [F.desc("tokens"), F.col("doc_id")], ["changed", "tests", "docs"])
