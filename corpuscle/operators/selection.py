@@ -2,45 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.shared import cut
 
 
-def greedy_budget(df: DataFrame, group: str, item: str, score: str, tokens: str, budget: int, max_files: int = 40) -> DataFrame:
+def greedy_budget(df: DataFrame, group: str, item: str, score: str, tokens: str, budget: int, max_files: int = 40, chunk: int = 1000) -> DataFrame:
     """(group, item, action, spent): items by falling score; one that does not fit is skipped and later ones still may.
 
-    The scan is sequential by nature. Sorted rows of a group stream through one
-    worker that holds two numbers, so a group of any size needs constant memory.
-    Every item gets a receipt.
+    A round takes the first `chunk` rows of each group that lie behind its last one
+    looked at and would still fit, and folds them. At most max_files rows of a group
+    are ever picked, and every receipt follows from the picks before a row, so no group
+    passes through one task: a round ranks only what its limit lets through. Scores
+    that are null or no number come last; tokens that are null count as none.
     """
-    kind, item_kind = df.schema[group].dataType.simpleString(), df.schema[item].dataType.simpleString()
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).alias("s"), F.col(tokens).alias("t")).repartition(partitions, "g").sortWithinPartitions("g", F.desc("s"), "i")
+    last = F.col("s").isNull() | F.isnan(F.col("s").cast("double"))
+    rows = cut(df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).alias("s"), F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("t"), F.monotonically_increasing_id().alias("id")))
+    rows = rows.select("g", "i", "t", F.struct(last.alias("last"), F.when(~last, -F.col("s")).alias("s"), "i", "id").alias("k"))
+    key = rows.schema["k"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, spent, taken = object(), 0, 0
-        for batch in batches:
-            actions, totals = [], []
-            for g, t in zip(batch["g"], batch["t"], strict=True):
-                if g != now:
-                    now, spent, taken = g, 0, 0
-                if taken >= max_files:
-                    actions.append("cap reached")
-                elif spent + t > budget:
-                    actions.append("over budget")
-                else:
-                    spent, taken = spent + int(t), taken + 1
-                    actions.append("selected")
-                totals.append(spent)
-            yield pd.DataFrame({"g": batch["g"], "i": batch["i"], "action": actions, "spent": totals})
+    def pick(acc: Column, x: Column) -> Column:
+        spent, taken = acc["spent"] + x["t"], acc["taken"] + 1
+        grown = F.concat(acc["picks"], F.array(F.struct(x["k"].alias("k"), spent.alias("spent"), taken.alias("taken"))))
+        fits = (acc["taken"] < max_files) & (spent <= budget)
+        return F.struct(F.when(fits, spent).otherwise(acc["spent"]).alias("spent"), F.when(fits, taken).otherwise(acc["taken"]).alias("taken"), F.when(fits, grown).otherwise(acc["picks"]).alias("picks"))
 
-    out = rows.mapInPandas(run, f"g {kind}, i {item_kind}, action string, spent bigint")
-    return out.withColumnsRenamed({"g": group, "i": item})
+    state = cut(rows.select("g").distinct().selectExpr("g", "0L as spent", "0 as taken", f"cast(null as {key}) as seen", f"cast(array() as array<struct<k:{key},spent:bigint,taken:int>>) as picks"))
+    while True:
+        open_ = state.where(F.col("taken") < max_files).select(F.col("g").alias("h"), "spent", "taken", "seen")
+        ahead = rows.join(open_, F.col("g").eqNullSafe(F.col("h"))).where((F.col("t") <= budget - F.col("spent")) & (F.col("seen").isNull() | (F.col("k") > F.col("seen"))))
+        first = ahead.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k"))).where(F.col("n") <= chunk)
+        turn = cut(first.groupBy(F.col("g").alias("h")).agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("a")))
+        if turn.isEmpty():
+            break
+        grown = state.join(turn, F.col("g").eqNullSafe(F.col("h")), "left")
+        grown = grown.withColumn("f", F.aggregate(F.coalesce("a", F.expr(f"cast(array() as array<struct<k:{key},t:bigint>>)")), F.struct("spent", "taken", "picks"), pick))
+        state = cut(grown.select("g", "f.spent", "f.taken", F.coalesce(F.try_element_at("a", F.lit(-1))["k"], F.col("seen")).alias("seen"), "f.picks"))
+    told = rows.join(state.select(F.col("g").alias("h"), "picks"), F.col("g").eqNullSafe(F.col("h"))).withColumn("at", F.try_element_at(F.filter("picks", lambda p: p["k"] <= F.col("k")), F.lit(-1)))
+    action = F.when(F.col("at.k") == F.col("k"), "selected").when(F.col("at.taken") >= max_files, "cap reached").otherwise("over budget")
+    return told.select(F.col("g").alias(group), F.col("i").alias(item), action.alias("action"), F.coalesce("at.spent", F.lit(0)).cast("bigint").alias("spent"))
 
 
 def diverse_top_k(df: DataFrame, group: str, item: str, score: str, terms: str, k: int = 3, weight: float = 70.0) -> DataFrame:

@@ -292,7 +292,7 @@ def api_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREFIXES = ["en", "en/1", "fr", "de/2", "es", "en/12"]
 
 
-@query("JON14 SRC15", rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/]+/([a-z]+/[0-9])', 1), '/([0-9])', '/\1') AS path FROM pages), x(prefix) AS (VALUES {', '.join(f"('{x}')" for x in PREFIXES)})
+@query("JON14", rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/]+/([a-z]+/[0-9])', 1), '/([0-9])', '/\1') AS path FROM pages), x(prefix) AS (VALUES {', '.join(f"('{x}')" for x in PREFIXES)})
 SELECT page_id, path, (SELECT arg_max(prefix, length(prefix)) FROM x WHERE p.path = prefix OR starts_with(p.path, prefix || '/')) AS workspace FROM p""")
 def longest_prefix_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/([a-z]+/[0-9])", 1).alias("path"))

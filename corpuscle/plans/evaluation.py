@@ -106,7 +106,7 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.rollup("lang").agg(F.count("*").alias("cases"), F.round(F.avg("recall"), 9).alias("recall"), F.round(F.avg("tp"), 9).alias("token_precision"), ((F.avg("recall") >= 0.6) & (F.avg("tp") >= 0.5)).alias("passed"))
 
 
-@query("EVL04 WIN10", f"WITH {RANKED_SQL}, s AS (SELECT source, sum(tokens) AS packed, sum(tokens) FILTER (WHERE expected) AS good, arg_max(tokens, rank) AS last_tokens, arg_max(expected, rank) AS last_expected FROM ranked WHERE rank <= 10 GROUP BY source) SELECT source, CAST(CASE WHEN last_expected THEN 0 ELSE last_tokens END AS BIGINT) AS waste, round((coalesce(good, 0) - CASE WHEN last_expected THEN last_tokens ELSE 0 END) / (packed - last_tokens) - coalesce(good, 0) / packed, 9) AS gain FROM s WHERE packed > last_tokens")
+@query("EVL04", f"WITH {RANKED_SQL}, s AS (SELECT source, sum(tokens) AS packed, sum(tokens) FILTER (WHERE expected) AS good, arg_max(tokens, rank) AS last_tokens, arg_max(expected, rank) AS last_expected FROM ranked WHERE rank <= 10 GROUP BY source) SELECT source, CAST(CASE WHEN last_expected THEN 0 ELSE last_tokens END AS BIGINT) AS waste, round((coalesce(good, 0) - CASE WHEN last_expected THEN last_tokens ELSE 0 END) / (packed - last_tokens) - coalesce(good, 0) / packed, 9) AS gain FROM s WHERE packed > last_tokens")
 def extra_file_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = ranked(spark, sf_dir).where("rank <= 10").groupBy("source").agg(F.sum("tokens").alias("packed"), F.coalesce(F.sum(F.when(F.col("expected"), F.col("tokens"))), F.lit(0)).alias("good"), F.max_by("tokens", "rank").alias("last_tokens"), F.max_by("expected", "rank").alias("last_expected")).where("packed > last_tokens")
     without = F.col("good") - F.when(F.col("last_expected"), F.col("last_tokens")).otherwise(0)

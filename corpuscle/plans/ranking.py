@@ -181,14 +181,14 @@ def evidence_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", F.round(density + 10 / (1 + F.log2(1 + F.col("doc_id") % 50)), 9).alias("score"))
 
 
-@query("SRT06 SRT07 SRT08", f"WITH {P_SQL}, u AS (SELECT 0 AS pri, doc_id AS id, tokens FROM f WHERE doc_id % 11 = 0 UNION ALL SELECT 1, doc_id, tokens FROM f WHERE path LIKE 'tests/%' UNION ALL SELECT 2, doc_id, tokens FROM f WHERE path LIKE 'docs/%') SELECT pri, id, tokens FROM u ORDER BY pri, tokens DESC, id LIMIT 25")
+@query("SRT08", f"WITH {P_SQL}, u AS (SELECT 0 AS pri, doc_id AS id, tokens FROM f WHERE doc_id % 11 = 0 UNION ALL SELECT 1, doc_id, tokens FROM f WHERE path LIKE 'tests/%' UNION ALL SELECT 2, doc_id, tokens FROM f WHERE path LIKE 'docs/%') SELECT pri, id, tokens FROM u ORDER BY pri, tokens DESC, id LIMIT 25")
 def focus_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     parts = [f.where(c).select(F.lit(i).alias("pri"), F.col("doc_id").alias("id"), "tokens") for i, c in enumerate(("doc_id % 11 = 0", "path like 'tests/%'", "path like 'docs/%'"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("pri", F.desc("tokens"), "id").limit(25)
 
 
-@query("JON19 JON20", "WITH k AS (SELECT p_name AS key, min(p_partkey) AS owner, count(*) AS n FROM part GROUP BY p_name) SELECT p.p_partkey, CASE WHEN k.n = 1 THEN k.owner END AS owner FROM part p LEFT JOIN k ON k.key = p.p_name")
+@query("JON20", "WITH k AS (SELECT p_name AS key, min(p_partkey) AS owner, count(*) AS n FROM part GROUP BY p_name) SELECT p.p_partkey, CASE WHEN k.n = 1 THEN k.owner END AS owner FROM part p LEFT JOIN k ON k.key = p.p_name")
 def declared_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that occur twice stay unresolved."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")

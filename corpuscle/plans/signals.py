@@ -82,7 +82,7 @@ def issue_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROLES = [("service", "backend", 3), ("order", "commerce", 2), ("user", "identity", 2), ("settings", "config", 3), ("test", "quality", 1), ("main", "entry", 2)]
 
 
-@query("STR09 COL07 COL02", f"WITH {P_SQL}, rules(term, label, points) AS (VALUES {', '.join(f'''('{t}', '{label}', {p})''' for t, label, p in ROLES)}), s AS (SELECT doc_id, label, sum(points) AS points FROM f JOIN rules ON contains(lower(path), term) GROUP BY doc_id, label), b AS (SELECT doc_id, arg_max(label, (points, label)) AS label FROM s GROUP BY doc_id) SELECT label, count(*) AS n FROM b GROUP BY label")
+@query("STR09 COL07", f"WITH {P_SQL}, rules(term, label, points) AS (VALUES {', '.join(f'''('{t}', '{label}', {p})''' for t, label, p in ROLES)}), s AS (SELECT doc_id, label, sum(points) AS points FROM f JOIN rules ON contains(lower(path), term) GROUP BY doc_id, label), b AS (SELECT doc_id, arg_max(label, (points, label)) AS label FROM s GROUP BY doc_id) SELECT label, count(*) AS n FROM b GROUP BY label")
 def role_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short rule table becomes one expression per label; the best label wins."""
     path = F.lower("path")
@@ -104,7 +104,7 @@ def public_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", label.alias("label"))
 
 
-@query("DTE07 STM08", "SELECT o_orderkey, CASE WHEN o_orderdate IS NULL THEN 'no snapshot' WHEN floor((epoch(TIMESTAMP '1998-08-02') - epoch(o_orderdate)) / 86400) > 365 THEN 'too old' WHEN o_orderpriority = '1-URGENT' THEN 'branch changed' WHEN o_custkey % 10 = 0 THEN 'dirty' ELSE NULL END AS reason FROM orders")
+@query("DTE07", "SELECT o_orderkey, CASE WHEN o_orderdate IS NULL THEN 'no snapshot' WHEN floor((epoch(TIMESTAMP '1998-08-02') - epoch(o_orderdate)) / 86400) > 365 THEN 'too old' WHEN o_orderpriority = '1-URGENT' THEN 'branch changed' WHEN o_custkey % 10 = 0 THEN 'dirty' ELSE NULL END AS reason FROM orders")
 def cache_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first reason that forbids an incremental run; null allows it."""
     age = F.floor((F.unix_timestamp(F.lit("1998-08-02 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))) / 86400)

@@ -69,10 +69,11 @@ def test_graph(spark):
     assert {(r.node, r.hop) for r in graph.two_hop(edges, seed).collect()} == {("b", 1), ("c", 2)}
 
 
-def test_greedy_budget_equals_a_loop(spark):
+@pytest.mark.parametrize("chunk", [1000, 7])
+def test_greedy_budget_equals_a_loop(spark, chunk):
     rng = np.random.default_rng(1)
-    rows = [(int(g), i, int(s), int(t)) for i, (g, s, t) in enumerate(zip(rng.integers(0, 4, 200), rng.integers(0, 50, 200), rng.integers(1, 40, 200), strict=True))]
-    got = {r.i: (r.action, r.spent) for r in selection.greedy_budget(spark.createDataFrame(rows, "g long, i long, s long, t long"), "g", "i", "s", "t", 150, 6).collect()}
+    rows = [(int(g), i, int(s), int(t)) for i, (g, s, t) in enumerate(zip(rng.integers(0, 4, 200), rng.integers(0, 50, 200), rng.integers(1, 60, 200), strict=True))]
+    got = {r.i: (r.action, r.spent) for r in selection.greedy_budget(spark.createDataFrame(rows, "g long, i long, s long, t long"), "g", "i", "s", "t", 150, 6, chunk).collect()}
     want = {}
     for g in range(4):
         spent = taken = 0
@@ -83,6 +84,14 @@ def test_greedy_budget_equals_a_loop(spark):
     assert got == want
 
 
+def test_greedy_budget_takes_nulls_ties_and_repeats(spark):
+    rows = [("a", 1, 5.0, 4), ("a", 1, 5.0, 4), ("a", 2, None, 2), ("a", 3, float("nan"), None), (None, 4, 1.0, 11), (None, 5, 0.5, 10)]
+    frame = spark.createDataFrame(rows, "g string, i long, s double, t long")
+    got = sorted(map(tuple, selection.greedy_budget(frame, "g", "i", "s", "t", 10, 3, 1).collect()), key=repr)
+    assert got == sorted([("a", 1, "selected", 4), ("a", 1, "selected", 8), ("a", 2, "selected", 10), ("a", 3, "cap reached", 10), (None, 4, "over budget", 0), (None, 5, "selected", 10)], key=repr)
+    assert selection.greedy_budget(frame.limit(0), "g", "i", "s", "t", 10).count() == 0
+
+
 def test_diverse_picks_equal_a_loop(spark):
     rng = np.random.default_rng(2)
     rows = [(i % 3, i, float(rng.integers(0, 100)), [str(x) for x in rng.integers(0, 6, 3)]) for i in range(45)]
