@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpuscle import shared
 from corpuscle.shared import cut, join_facts
 
-__all__ = ["bound_batches", "bounded_sample", "cut", "fold", "join_facts", "keyed", "map_batches", "table"]
+__all__ = ["bound_batches", "bounded_sample", "cut", "fold", "join_facts", "keyed", "map_batches", "table", "words_of"]
 
 #: Rows and bytes that go to a Python worker in one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -54,6 +55,15 @@ def bounded_sample(texts: DataFrame, keys: DataFrame, classes: str, most_rows: i
     return keyed(texts, "text").drop("size").join(F.broadcast(chosen), "h").groupBy(classes, "rank").agg(F.any_value("text").alias("text"))
 
 
+#: A-Z to a-z, other ASCII bytes that are no letter or digit to spaces; bytes of other characters stay.
+_WORD_BYTES = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else ord(" ") for b in range(256))
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a UTF-8 text: runs of ASCII letters, lower-cased, digits and characters beyond ASCII."""
+    return text.translate(_WORD_BYTES).split() if text else []
+
+
 def fold(id_column: Column, folds: int) -> Column:
     """crc32 of the id's text modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds

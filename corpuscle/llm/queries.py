@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, chat, langid, linededup, neardup, packing, quality, secret_scan, simhash, topk
+from corpuscle.llm import bpe, chat, decontam, langid, lexical, linededup, neardup, negatives, packing, quality, secret_scan, simhash, topk
 from corpuscle.llm.common import fold, table
 
 #: Folder of the public vocabulary files; every operator takes the path as a parameter.
@@ -74,5 +74,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_secrets, op4_bpe, op5_language, op6_packing, op7_chat, op8_neardup, op9_line_dedup, op10_simhash)}
-ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL}
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.col("_leaks.items")
+    digest = F.sha2(F.array_join(items, ","), 256).alias("items_sha256")
+    return found.select("doc_id", "_leaks.n_words", "_leaks.n_hit", F.size(items).cast("bigint").alias("n_items"), digest, (F.col("_leaks.n_hit") > 0).alias("contaminated"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return negatives.mine(rows.select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector")), F.col("id") % 100 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk, op2_quality, op3_secrets, op4_bpe, op5_language, op6_packing, op7_chat, op8_neardup, op9_line_dedup, op10_simhash, op11_decontaminate, op12_lexical, op13_negatives)}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE_SQL, "op9_line_dedup": linededup.ORACLE_SQL, "op11_decontaminate": decontam.ORACLE_SQL, "op12_lexical": lexical.ORACLE_SQL, "op13_negatives": negatives.ORACLE_SQL}
