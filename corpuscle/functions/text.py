@@ -40,7 +40,8 @@ def task_terms(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
 
 def bigrams(terms: Column, generic: list[str] = ()) -> Column:
     """Distinct two-term phrases in order; phrases of generic terms alone are dropped."""
-    pairs = F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("a"), F.get(terms, i + 1).alias("b"))), lambda p: p["b"].isNotNull())
+    # slices, not a look-up by place: an expression that reads terms inside a lambda is evaluated for each of its elements
+    pairs = F.zip_with(F.slice(terms, F.lit(1), F.greatest(F.size(terms) - 1, F.lit(0))), F.slice(terms, F.lit(2), F.greatest(F.size(terms) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     if generic:
         own = _array(list(generic))
         pairs = F.filter(pairs, lambda p: ~(F.array_contains(own, p["a"]) & F.array_contains(own, p["b"])))

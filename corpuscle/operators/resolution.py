@@ -102,7 +102,7 @@ def resolve(relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases:
     join of lookups with one index, whose facts are one row for each key; keys that a
     large share of the lookups have are never hot. Null names and paths stay unresolved.
     """
-    asked = relations.select("path", F.coalesce("scope", F.lit("")).alias("scope"), F.col("relation").isin(FILE_RELATIONS).alias("is_file"), F.col("name").alias("target_name")).where("path is not null and target_name is not null")
+    asked = relations.select("path", F.coalesce("scope", F.lit("")).alias("scope"), F.coalesce(F.col("relation").isin(FILE_RELATIONS), F.lit(False)).alias("is_file"), F.col("name").alias("target_name")).where("path is not null and target_name is not null")
     asks = asked.groupBy("path", "scope", "is_file", "target_name").agg(F.count("*").alias("uses"))
     asks = cut(asks.withColumn("raw", plain_name(F.col("target_name"))))
     outer = F.when(F.contains("scope", F.lit(".")) & ~F.contains("raw", F.lit(".")), F.regexp_extract("scope", r"^(.*)\.[^.]*$", 1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import classify, secrets, text
 from corpuscle.operators import relational as rel
 from corpuscle.plans.registry import PATH, REASON, TASK, query, read
+from corpuscle.shared import cut
 
 TOKENS_SQL = "greatest(1, length(text) // 4)"
 WORDS_SQL = r"list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-zA-Z0-9]+'), lambda t: t <> '')"
@@ -100,11 +101,18 @@ def bigram_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rarity_by_workspace(docs: DataFrame, items: Column, name: str, counted: Column | None = None) -> DataFrame:
-    """(source, item, df, rarity) of every item for each source, and for all of them under a null source; only documents with terms count."""
-    own = docs.select(F.coalesce("source", F.lit("(root)")).alias("source"), items.alias("items"), (F.size(items) > 0 if counted is None else counted).alias("counted")).where("counted")
-    totals = own.groupingSets([[], ["source"]], "source").agg(F.count("*").alias("n")).select(F.col("source").alias("of"), "n")
-    df = own.select("source", F.explode("items").alias(name)).groupingSets([[name], ["source", name]], "source", name).agg(F.count("*").alias("df"))
-    found = df.join(F.broadcast(totals), F.col("source").eqNullSafe(F.col("of")))  # a row for each source
+    """(source, item, df, rarity) of every item for each source, and for all of them under a null source; only documents with terms count.
+
+    Texts are read once: a document also gives one empty item, whose count is the
+    number of documents. Counts for all sources are sums of those of each. An outer
+    explode infers no filter that would cut the texts into terms a second time.
+    """
+    rows = docs.select(F.coalesce("source", F.lit("(root)")).alias("source"), items.alias("items"), *([] if counted is None else [counted.alias("counted")]))
+    each = F.when(F.size("items") > 0 if counted is None else F.col("counted"), F.concat("items", F.array(F.lit(""))))
+    own = cut(rows.select("source", F.explode_outer(each).alias(name)).groupBy("source", name).agg(F.count("*").alias("df"))).where(F.col(name).isNotNull())
+    every = own.unionByName(own.groupBy(name).agg(F.sum("df").alias("df")).withColumn("source", F.lit(None).cast("string")))
+    totals = every.where(F.col(name) == "").select(F.col("source").alias("of"), F.col("df").alias("n"))
+    found = every.where(F.col(name) != "").join(totals, F.col("source").eqNullSafe(F.col("of")))
     return found.select("source", name, "df", F.round(rel.rarity(F.col("n"), F.col("df")), 9).alias("rarity"))
 
 
@@ -118,9 +126,13 @@ def workspace_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rarity_by_workspace(files(spark, sf_dir), F.array_distinct(text.ordered_tokens(F.col("text"))), "term")
 
 
-@query("AGG03 STR03 MTH02")
+BIGRAM_RARITY_SQL = f"""WITH d AS (SELECT coalesce(source, '(root)') AS source, {WORDS_SQL} AS w FROM documents), k AS (SELECT source, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM d WHERE len(w) > 0),
+n AS (SELECT source, count(*) AS n FROM k GROUP BY GROUPING SETS ((), (source))), x AS (SELECT source, bigram, count(*) AS df FROM (SELECT source, unnest(t) AS bigram FROM k) GROUP BY GROUPING SETS ((bigram), (source, bigram)))
+SELECT x.source, bigram, df, round(CASE WHEN n <= 1 THEN 1 ELSE greatest(0, least(1, ln((n + 1) / (df + 1)) / ln(n + 1.0))) END, 9) AS rarity FROM x JOIN n ON x.source IS NOT DISTINCT FROM n.source"""
+
+
+@query("AGG03 STR03 MTH02", BIGRAM_RARITY_SQL)
 def workspace_bigram_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL form, tested on a small fixture."""
     docs = files(spark, sf_dir).select("source", text.ordered_tokens(F.col("text")).alias("t"))
     return rarity_by_workspace(docs, text.bigrams(F.col("t")), "bigram", F.size("t") > 0)
 

@@ -1,6 +1,7 @@
 """Every registered plan against its DuckDB equivalent on the smallest tables."""
 
 import math
+import time
 from decimal import Decimal
 
 import duckdb
@@ -84,3 +85,15 @@ def test_rare_terms_and_bigrams_stay_and_have_a_rarity(spark, tmp_path):
     assert sorted(run("workspace_rarity"), key=repr) == sorted(((s, t, df, rarity(n, df)) for (s, t), (n, df) in terms.items()), key=repr)
     pairs = {(None, "one two"): (4, 2), (None, "two three"): (4, 1), (None, "one four"): (4, 1), ("a", "one two"): (2, 2), ("a", "two three"): (2, 1), ("b", "one four"): (1, 1)}
     assert sorted(run("workspace_bigram_rarity"), key=repr) == sorted(((s, t, df, rarity(n, df)) for (s, t), (n, df) in pairs.items()), key=repr)
+
+
+def test_bigrams_of_a_long_text(spark, tmp_path):
+    """20,000 words: an expression that tokenizes anew for each bigram would not end."""
+    words = [f"w{i % 997}x{i % 13}" for i in range(20_000)]
+    spark.createDataFrame([(1, "a", "en", " ".join(words))], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set(zip(words, words[1:], strict=False))
+    began = time.monotonic()
+    assert {r["bigram"] for r in plans.QUERIES["bigram_frequency"](spark, str(tmp_path)).collect()} == {f"{a} {b}" for a, b in want}
+    rows = plans.QUERIES["workspace_bigram_rarity"](spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * len(want) and {r["source"] for r in rows} == {None, "a"}
+    assert time.monotonic() - began < 60
