@@ -53,7 +53,7 @@ def target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.resolve(relations, symbols, files, aliases).select("path", "scope", "relation", "name", "stage", "resolution", "target")
 
 
-STALE_SQL = """imp AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS dep FROM lineitem WHERE l_linenumber = 7), chg AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 40 = 3 OR p_partkey % 400 = 7),
+STALE_SQL = """imp AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS dep FROM lineitem WHERE l_linenumber = 7 AND l_quantity <= 10), chg AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 40 = 3 OR p_partkey % 400 = 7),
 aff(k) AS (SELECT k FROM chg UNION SELECT imp.k FROM aff JOIN imp ON imp.dep = aff.k JOIN part ON p_partkey = imp.k)"""
 
 
@@ -63,12 +63,12 @@ SELECT 'p' || CAST(key AS VARCHAR) AS key, CAST(size AS BIGINT) AS size, n_impor
 def maintained_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of parts after some changed and some went; each row tells in which build it was made, so a rebuild of all would differ.
 
-    A part imports the supplier's namesake part of its seventh lines. Rows of changed
+    A part imports the namesake part of the supplier of its small seventh lines. Rows of changed
     files and of those that import them, directly or not, are of build 2.
     """
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), "p_size")
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
-    edges = read(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(name("l_partkey").alias("path"), name("l_suppkey").alias("import")).groupBy("path").agg(F.collect_set("import").alias("imports"))  # at most a few lines of a part
+    edges = read(spark, sf_dir, "lineitem").where("l_linenumber = 7 and l_quantity <= 10").select(name("l_partkey").alias("path"), name("l_suppkey").alias("import")).groupBy("path").agg(F.collect_set("import").alias("imports"))  # at most a few lines of a part
     was = part.join(edges, "path", "left")
     now = was.where("k % 400 <> 7").withColumn("p_size", F.when(F.col("k") % 40 == 3, F.col("p_size") + 1).otherwise(F.col("p_size")))
     none = F.array().cast("array<string>")

@@ -8,7 +8,6 @@ from collections import Counter
 from corpuscle import plans
 from corpuscle.operators import architecture, resolution
 
-BASE = "/root/testdata/sf0.001"
 ENDINGS = [".py", ".js", ".ts", ".tsx", ".go", ".rs", ".java", ".kt", ".rb", ".php", "/__init__.py", "/index.ts", "/index.js"]
 
 
@@ -123,7 +122,7 @@ def test_stale_files_equal_the_loop(spark):
 
 
 def test_only_stale_files_are_built_again(spark):
-    rows = plans.QUERIES["maintained_files"](spark, BASE).collect()
+    rows = plans.QUERIES["maintained_files"](spark, "/root/testdata/sf0.01").collect()
     built = Counter(r["build"] for r in rows)
     assert built[1] > built[2] > 0
 
