@@ -46,21 +46,48 @@ def path_family(path: Column) -> Column:
     )
 
 
+# Families of ranking reasons by their beginnings (or what they hold), the first that fits.
+REASON_FAMILIES = [
+    ("filename", ["filename keyword match"], ["matched naming keyword"]),
+    ("symbol", ["symbol keyword match", "matched define"], []),
+    ("content", ["content keyword match", "keyword phrase match", "quoted literal match"], []),
+    ("semantic", ["matched call", "matched entrypoint", "matched domain", "matched external system"], []),
+    ("graph", ["direct dependency", "reverse dependency", "has related tests", "test for"], []),
+    ("history", ["recently modified", "historically co-changed", "high churn"], []),
+    ("metadata", ["config file", "release/version metadata", "knowledge/architecture doc"], []),
+    ("summary", ["matched role keyword", "matched ranking keyword"], []),
+]
+# Intents of a task by whole phrases, the first that fits.
+INTENTS = [
+    ("audit", ["audit", "security review", "risk review", "architecture review"]),
+    ("review", ["review", "pr", "pull request", "code review"]),
+    ("share", ["share", "handoff", "promptable artifact", "broad context"]),
+    ("repo_overview", ["repo overview", "repository overview", "explain repo", "understand repo", "map repo"]),
+]
+# What makes leaving a file out a high or a medium risk, in its reasons and in its path, and the score above which it is medium.
+RISKS = [
+    ("high", ["reverse dependency", "caller", "related test", "test for"], r"^tests?/|/tests/|route|controller|api/|schema|migration|model"),
+    ("medium", ["direct dependency", "config"], r"config|\.env|deploy|settings"),
+]
+RISKY_SCORE = 150
+
+
+def first_rule(rules: list[tuple[str, Column]], otherwise: str) -> Column:
+    """The name of the first rule that holds."""
+    out = F.when(F.lit(False), F.lit(otherwise))
+    for name, holds in rules:
+        out = out.when(holds, F.lit(name))
+    return out.otherwise(F.lit(otherwise))
+
+
+def _any_of(value: Column, begins: list[str], holds: list[str] = ()) -> Column:
+    return F.greatest(F.lit(False), F.lit(False), *(value.startswith(b) for b in begins), *(value.contains(h) for h in holds))
+
+
 def reason_family(reason: Column) -> Column:
     """The kind of evidence that a ranking reason states."""
     r = F.lower(reason)
-    starts = lambda *p: r.rlike("^(" + "|".join(p) + ")")
-    return (
-        F.when(starts("filename keyword match") | r.contains("matched naming keyword"), "filename")
-        .when(starts("symbol keyword match", "matched define"), "symbol")
-        .when(starts("content keyword match", "keyword phrase match", "quoted literal match"), "content")
-        .when(starts("matched call", "matched entrypoint", "matched domain", "matched external system"), "semantic")
-        .when(starts("direct dependency", "reverse dependency", "has related tests", "test for"), "graph")
-        .when(starts("recently modified", "historically co-changed", "high churn"), "history")
-        .when(starts("config file", "release/version metadata", "knowledge/architecture doc"), "metadata")
-        .when(starts("matched role keyword", "matched ranking keyword"), "summary")
-        .otherwise("other")
-    )
+    return first_rule([(name, _any_of(r, begins, holds)) for name, begins, holds in REASON_FAMILIES], "other")
 
 
 def module_of(path: Column) -> Column:
@@ -89,22 +116,14 @@ def category(path: Column) -> Column:
 def omission_risk(path: Column, reasons: Column, score: Column) -> Column:
     """high, medium or low risk of leaving a file out."""
     p, r = F.lower(path), F.lower(F.array_join(reasons, " "))
-    high = r.rlike("reverse dependency|caller|related test|test for") | p.rlike("^tests?/|/tests/|route|controller|api/|schema|migration|model")
-    return F.when(high, "high").when(r.rlike("direct dependency|config") | p.rlike(r"config|\.env|deploy|settings") | (score > 150), "medium").otherwise("low")
+    rules = [(name, _any_of(r, [], said) | p.rlike(places)) for name, said, places in RISKS]
+    return first_rule([*rules, ("medium", score > RISKY_SCORE)], "low")
 
 
 def context_intent(text: Column) -> Column:
     """audit, review, share, repo_overview or coding_task, by whole phrases."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[-_]", " "), r"\s+", " "))
-    has = lambda *terms: t.rlike("(?<![a-z0-9_])(" + "|".join(terms) + ")(?![a-z0-9_])")
-    audit = has("audit", "security review", "risk review", "architecture review")
-    review = has("review", "pr", "pull request", "code review")
-    return (
-        F.when(audit, "audit").when(review, "review")
-        .when(has("share", "handoff", "promptable artifact", "broad context"), "share")
-        .when(has("repo overview", "repository overview", "explain repo", "understand repo", "map repo"), "repo_overview")
-        .otherwise("coding_task")
-    )
+    return first_rule([(name, t.rlike("(?<![a-z0-9_])(" + "|".join(terms) + ")(?![a-z0-9_])")) for name, terms in INTENTS], "coding_task")
 
 
 def task_kind(text: Column) -> Column:

@@ -16,6 +16,17 @@ STOPWORDS = [
     "use", "using", "used", "how", "what", "when", "where", "why",
 ]
 
+# A conventional commit, in any case; literal phrases and the group that is the phrase; an API path and its parameters.
+COMMIT = r"^\s*([a-z][a-z0-9-]*)(?:\(([^)]{1,80})\))?!?:\s*(.+)$"
+PHRASES = [
+    (r"`([^`]{3,120})`", 1),
+    (r'"([^"]{3,120})"', 1),
+    (r"'([^']{3,120})'", 1),
+    (r"\b[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+){1,}\b", 0),
+]
+API_PATH = r"/api/[A-Za-z0-9_./${}\[\]-]+"
+API_PARAMETER = r"/\[[^\]]+\]"
+
 
 def _array(words: list[str]) -> Column:
     return F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
@@ -66,7 +77,7 @@ def singular(word: Column) -> Column:
 
 def conventional_commit(text: Column) -> Column:
     """struct(kind, scope, subject) of `kind(scope)!: subject`; null fields where the form is another."""
-    pattern = r"^\s*([A-Za-z][A-Za-z0-9-]*)(?:\(([^)]{1,80})\))?!?:\s*(.+)$"
+    pattern = "(?i)" + COMMIT
     hit = text.rlike(pattern)
     part = lambda i: F.when(hit, F.regexp_extract(text, pattern, i))
     return F.struct(F.lower(part(1)).alias("kind"), part(2).alias("scope"), part(3).alias("subject"))
@@ -74,16 +85,15 @@ def conventional_commit(text: Column) -> Column:
 
 def literal_phrases(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Distinct phrases of 2 to 8 tokens that are quoted, in backticks, or joined by hyphens, slashes or underscores."""
-    patterns = (("`([^`]{3,120})`", 1), ('"([^"]{3,120})"', 1), ("'([^']{3,120})'", 1), (r"\b[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)+\b", 0))
-    raw = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in patterns))
+    raw = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in PHRASES))
     kept = F.transform(raw, lambda r: F.filter(ordered_tokens(r), lambda t: (F.length(t) >= 2) & ~F.array_contains(_array(stopwords), t)))
     return F.array_distinct(F.transform(F.filter(kept, lambda k: F.size(k).between(2, 8)), lambda k: F.array_join(k, " ")))
 
 
 def api_path(text: Column) -> Column:
     """The first /api/ path in a text without query, fragment, template and bracket parts; null if there is none."""
-    found = F.regexp_extract(text, r"/api/[A-Za-z0-9_./${}\[\]-]+", 0)
-    plain = F.regexp_replace(F.substring_index(F.substring_index(F.substring_index(found, "?", 1), "#", 1), "${", 1), r"/\[[^\]]+\]", "")
+    found = F.regexp_extract(text, API_PATH, 0)
+    plain = F.regexp_replace(F.substring_index(F.substring_index(F.substring_index(found, "?", 1), "#", 1), "${", 1), API_PARAMETER, "")
     trimmed = F.regexp_replace(plain, "[/,;)]+$", "")
     return F.when(found != "", F.when(trimmed == "", "/api").otherwise(trimmed))
 

@@ -12,6 +12,8 @@ from corpuscle.shared import cut, join_facts
 
 #: Kinds of entities that are files.
 FILE_KINDS = ["module", "config", "test", "document"]
+#: Terms that one search looks for at most.
+MOST_TERMS = 10_000
 #: Above this share of affected files a view is built anew.
 REBUILD = 0.4
 
@@ -53,14 +55,18 @@ def file_owners(entities: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve_names(entities: DataFrame, key: str, columns: list[str], kind: str, display: str, asked: DataFrame, limit: int = 20) -> DataFrame:
     """(asked, key, exact): entities that have the asked name in one of the columns, in any case; for a name without one, the best of a search.
 
-    asked(asked) holds the names of one request and is short. A search gives 3 points
+    Names meet entities by equi-join; only the terms of names without an exact one, at most
+    MOST_TERMS of them, are looked for in every text. A search gives 3 points
     for a term that is the display name, 1 for one that the columns contain.
     """
-    names = F.broadcast(asked.select("asked").distinct())
+    names = asked.select("asked").distinct()
     each = entities.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.array(*(F.lower(F.col(c).cast("string")) for c in columns)))).alias("name"))
     exact = cut(each.join(names, F.col("name") == F.lower("asked")).select("asked", "key").distinct())
     missing = asked.select("asked").distinct().join(exact.select("asked").distinct(), "asked", "left_anti")
-    wanted = F.broadcast(missing.select("asked", F.explode(F.filter(F.split(F.lower("asked"), r"\s+"), lambda t: t != "")).alias("term")))
+    wanted = missing.select("asked", F.explode(F.filter(F.split(F.lower("asked"), r"\s+"), lambda t: t != "")).alias("term"))
+    if wanted.count() > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms to search for at once; ask in parts")
+    wanted = F.broadcast(wanted)
     text = F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)))
     rows = entities.select(F.col(key).alias("key"), F.col(kind).alias("kind"), F.lower(display).alias("display"), text.alias("text"))
     hits = rows.join(wanted, F.col("text").contains(F.col("term"))).groupBy("asked", "key", "kind", "display").agg(F.sum(F.when(F.col("term") == F.col("display"), 3).otherwise(1)).alias("score"))
@@ -77,8 +83,7 @@ def relation_quality(found: DataFrame, wanted: DataFrame) -> DataFrame:
     is missing is the start. A ratio over nothing is null.
     """
     tuple_ = ["src", "type", "dst"]
-    kinds = F.broadcast(wanted.select("type").distinct().limit(1000))
-    live = found.join(kinds, "type", "left_semi")
+    live = found.join(wanted.select("type").distinct(), "type", "left_semi")
     flags = live.select(*tuple_, F.lit(1).alias("f"), F.lit(0).alias("w")).unionByName(wanted.select(*tuple_, F.lit(0).alias("f"), F.lit(1).alias("w")))
     per = flags.groupBy(*tuple_).agg(F.max("f").alias("f"), F.max("w").alias("w")).agg(F.sum("f").alias("found"), F.sum("w").alias("wanted"), F.sum(F.col("f") * F.col("w")).alias("right"))
     g = live.select(*(F.col(c).alias(f"_{c}") for c in tuple_), F.col("path").alias("_path"), F.col("start").alias("_start"), F.coalesce("end", "start").alias("_end"))

@@ -43,9 +43,10 @@ def bm25(tf: Column, df: Column, total: Column) -> Column:
 
 
 def co_changed(changes: DataFrame, seeds: DataFrame, commit: str, path: str) -> DataFrame:
-    """(path, n): how often other paths change in commits that touch a seed."""
-    touching = changes.join(F.broadcast(seeds.select(path).distinct()), path, "left_semi").select(commit).distinct()
-    return changes.join(touching, commit, "left_semi").join(F.broadcast(seeds.select(path).distinct()), path, "left_anti").groupBy(path).agg(F.countDistinct(commit).alias("n"))
+    """(path, n): how often other paths change in commits that touch a seed. Spark picks the joins: seeds may be many."""
+    own = seeds.select(path).distinct()
+    touching = changes.join(own, path, "left_semi").select(commit).distinct()
+    return changes.join(touching, commit, "left_semi").join(own, path, "left_anti").groupBy(path).agg(F.countDistinct(commit).alias("n"))
 
 
 def longest_prefix(rows: DataFrame, path: str, prefixes: DataFrame, prefix: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpuscle.functions import classify, secrets, text
 from corpuscle.operators import relational as rel
 from corpuscle.plans.registry import PATH, REASON, TASK, query, read
-from corpuscle.shared import cut
 
 TOKENS_SQL = "greatest(1, length(text) // 4)"
 WORDS_SQL = r"list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-zA-Z0-9]+'), lambda t: t <> '')"
@@ -100,20 +99,22 @@ def bigram_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.explode(text.bigrams(F.col("t"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("df"))
 
 
-def rarity_by_workspace(docs: DataFrame, items: Column, name: str, counted: Column | None = None) -> DataFrame:
+def rarity_by_workspace(docs: DataFrame, items: Column, name: str) -> DataFrame:
     """(source, item, df, rarity) of every item for each source, and for all of them under a null source; only documents with terms count.
 
-    Texts are read once: a document also gives one empty item, whose count is the
-    number of documents. Counts for all sources are sums of those of each. An outer
-    explode infers no filter that would cut the texts into terms a second time.
+    docs(source, text). Counts for all sources are sums of those of each, which both
+    branches read from one shuffle. How many documents have a term is told by a single
+    search in each text. The outer explode infers no filter that would cut texts
+    into terms a second time.
     """
-    rows = docs.select(F.coalesce("source", F.lit("(root)")).alias("source"), items.alias("items"), *([] if counted is None else [counted.alias("counted")]))
-    each = F.when(F.size("items") > 0 if counted is None else F.col("counted"), F.concat("items", F.array(F.lit(""))))
-    own = cut(rows.select("source", F.explode_outer(each).alias(name)).groupBy("source", name).agg(F.count("*").alias("df"))).where(F.col(name).isNotNull())
-    every = own.unionByName(own.groupBy(name).agg(F.sum("df").alias("df")).withColumn("source", F.lit(None).cast("string")))
-    totals = every.where(F.col(name) == "").select(F.col("source").alias("of"), F.col("df").alias("n"))
-    found = every.where(F.col(name) != "").join(totals, F.col("source").eqNullSafe(F.col("of")))
-    return found.select("source", name, "df", F.round(rel.rarity(F.col("n"), F.col("df")), 9).alias("rarity"))
+    source = F.coalesce("source", F.lit("(root)")).alias("source")
+    each = docs.select(source, F.explode_outer(items).alias(name)).groupBy("source", name).agg(F.count("*").alias("df"))
+    n = docs.where(F.col("text").rlike("[a-zA-Z0-9]")).select(source).groupBy("source").agg(F.count("*").alias("n"))  # a row for each source
+    every = n.agg(F.sum("n").alias("n")).where("n is not null")
+    rarity = F.round(rel.rarity(F.col("n"), F.col("df")), 9).alias("rarity")
+    own = each.join(n, "source").where(F.col(name).isNotNull()).select("source", name, "df", rarity)
+    total = each.groupBy(name).agg(F.sum("df").alias("df")).where(F.col(name).isNotNull()).crossJoin(F.broadcast(every))  # one row
+    return own.unionByName(total.select(F.lit(None).cast("string").alias("source"), name, "df", rarity))
 
 
 RARITY_SQL = f"""WITH d AS (SELECT coalesce(source, '(root)') AS source, list_distinct({WORDS_SQL}) AS t FROM documents), k AS (SELECT * FROM d WHERE len(t) > 0),
@@ -123,7 +124,7 @@ SELECT x.source, term, df, round(CASE WHEN n <= 1 THEN 1 ELSE greatest(0, least(
 
 @query("AGG03 MTH02", RARITY_SQL)
 def workspace_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rarity_by_workspace(files(spark, sf_dir), F.array_distinct(text.ordered_tokens(F.col("text"))), "term")
+    return rarity_by_workspace(files(spark, sf_dir).select("source", "text"), F.array_distinct(text.ordered_tokens(F.col("text"))), "term")
 
 
 BIGRAM_RARITY_SQL = f"""WITH d AS (SELECT coalesce(source, '(root)') AS source, {WORDS_SQL} AS w FROM documents), k AS (SELECT source, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM d WHERE len(w) > 0),
@@ -133,8 +134,7 @@ SELECT x.source, bigram, df, round(CASE WHEN n <= 1 THEN 1 ELSE greatest(0, leas
 
 @query("AGG03 STR03 MTH02", BIGRAM_RARITY_SQL)
 def workspace_bigram_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = files(spark, sf_dir).select("source", text.ordered_tokens(F.col("text")).alias("t"))
-    return rarity_by_workspace(docs, text.bigrams(F.col("t")), "bigram", F.size("t") > 0)
+    return rarity_by_workspace(files(spark, sf_dir).select("source", "text"), text.bigrams(text.ordered_tokens(F.col("text"))), "bigram")
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"

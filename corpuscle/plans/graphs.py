@@ -75,10 +75,10 @@ def relationship_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("type", "src", "dst").agg(F.count("*").alias("evidence")).orderBy("type", "src", "dst").limit(100)
 
 
-@query("GRF02", "SELECT p_partkey, score FROM (SELECT p_partkey, sum(CASE WHEN lower(p_type) = t THEN 3 WHEN contains(lower(p_name || ' ' || p_type), t) THEN 1 ELSE 0 END) AS score FROM part, (VALUES ('steel'), ('brass'), ('1')) v(t) GROUP BY p_partkey) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20")
+@query("GRF02", "SELECT p_partkey, score FROM (SELECT p_partkey, sum(CASE WHEN lower(p_type) = t THEN 3 WHEN contains(lower(p_name || ' ' || p_type), t) THEN 1 ELSE 0 END) AS score FROM part, (VALUES ('promo'), ('ring'), ('red')) v(t) GROUP BY p_partkey) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20")
 def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    terms = ("steel", "brass", "1")
+    terms = ("promo", "ring", "red")
     score = sum((F.when(F.lower("p_type") == t, 3).when(text.contains(t), 1).otherwise(0) for t in terms), F.lit(0)).cast("bigint")
     return read(spark, sf_dir, "part").select("p_partkey", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "p_partkey").limit(20)
 

@@ -23,6 +23,12 @@ def recent_commits(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts")).orderBy(F.desc("ts"), F.desc("commit_id")).limit(n)
 
 
+def recent_changes(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
+    """(commit_id, path) of the last n commits, a broadcast of n rows."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"))
+    return lines.join(F.broadcast(recent_commits(spark, sf_dir, n).select("commit_id")), "commit_id")
+
+
 @query("SRC06 SRC07", f"WITH {RECENT_SQL} SELECT commit_id, l_partkey AS path, count(*) AS n FROM recent JOIN lineitem ON commit_id = l_orderkey GROUP BY commit_id, l_partkey")
 def recently_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"))
@@ -36,21 +42,21 @@ def history_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.orderBy(F.desc("ts"), F.desc("commit_id")).limit(50).select("commit_id", "n_paths")
 
 
-@query("AGG01", f"WITH {CHANGES_SQL}, c AS (SELECT path, count(DISTINCT commit_id) AS churn FROM changes GROUP BY path), t AS (SELECT max(churn) AS edge FROM (SELECT churn, row_number() OVER (ORDER BY churn DESC) AS r, count(*) OVER () AS n FROM c) WHERE r = greatest(1, n // 10)) SELECT path, churn FROM c, t WHERE churn >= edge")
+@query("AGG01", f"WITH {RECENT_SQL}, c AS (SELECT l_partkey AS path, count(DISTINCT commit_id) AS churn FROM recent JOIN lineitem ON l_orderkey = commit_id GROUP BY l_partkey), t AS (SELECT max(churn) AS edge FROM (SELECT churn, row_number() OVER (ORDER BY churn DESC) AS r, count(*) OVER () AS n FROM c) WHERE r = greatest(1, n // 10)) SELECT path, churn FROM c, t WHERE churn >= edge")
 def churn_top_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths at or above the value at a tenth of the ranked counts; ranks come from a histogram of counts."""
-    churn = changes(spark, sf_dir).groupBy("path").agg(F.countDistinct("commit_id").alias("churn"))
+    """Paths of the last 200 commits at or above the value at a tenth of the ranked counts; ranks come from a histogram of counts."""
+    churn = recent_changes(spark, sf_dir).groupBy("path").agg(F.countDistinct("commit_id").alias("churn"))
     histogram = churn.groupBy("churn").agg(F.count("*").alias("n"))
     reach = histogram.select("churn", F.sum("n").over(Window.orderBy(F.desc("churn")).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
     edge = reach.where("upto >= greatest(1, total div 10)").agg(F.max("churn").alias("edge"))
     return churn.crossJoin(F.broadcast(edge)).where("churn >= edge").select("path", "churn")
 
 
-@query("AGG02 RNK04", f"WITH {CHANGES_SQL}, s AS (SELECT DISTINCT commit_id FROM changes WHERE path % 500 = 0) SELECT path, count(DISTINCT commit_id) AS n FROM changes WHERE commit_id IN (FROM s) AND path % 500 <> 0 GROUP BY path HAVING count(DISTINCT commit_id) >= 2")
+@query("AGG02 RNK04", f"WITH {RECENT_SQL}, c AS (SELECT commit_id, l_partkey AS path FROM recent JOIN lineitem ON l_orderkey = commit_id), seeds AS (SELECT p_partkey FROM part WHERE p_size <= 10), s AS (SELECT DISTINCT commit_id FROM c WHERE path IN (FROM seeds)) SELECT path, count(DISTINCT commit_id) AS n FROM c WHERE commit_id IN (FROM s) AND path NOT IN (FROM seeds) GROUP BY path")
 def co_changed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = changes(spark, sf_dir)
-    seeds = read(spark, sf_dir, "part").where("p_partkey % 500 = 0").select(F.col("p_partkey").alias("path"))
-    return rel.co_changed(own, seeds, "commit_id", "path").where("n >= 2")
+    """How often each path was changed together with a small part, among the last 200 commits."""
+    seeds = read(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("path"))
+    return rel.co_changed(recent_changes(spark, sf_dir), seeds, "commit_id", "path")
 
 
 NOISE_SQL = "least(45, 6 * n + 4 * greatest(0, n - 2))"

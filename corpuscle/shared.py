@@ -13,18 +13,24 @@ HOT = 10_000
 SPREAD_BYTES = 256 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share.
 
-    The folder is the one that spark.checkpoint.dir names. Only a local master may
-    leave it unset and get a temporary one: a cluster's executors could not share it.
+    Only a local master may leave it unset and get a temporary one: a cluster's
+    executors could not share it.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

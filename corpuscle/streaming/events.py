@@ -59,3 +59,26 @@ def upsert_latest(target: str, key: str = "user_id"):
         both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("r")).select(key, "r.*").write.mode("overwrite").parquet(f"{target}/v={epoch}")
 
     return merge
+
+
+def fingerprint_changes(rows: DataFrame, key: str = "user_id", fingerprint: str = "event_type", order: tuple[str, str] = ("ts", "event_id")) -> DataFrame:
+    """(key, event_id, before, after): a row when the fingerprint of a key is another than the last one seen, its first one included.
+
+    State is the last fingerprint of each key and lives on in the checkpoint, so a run
+    that finds nothing new fires nothing. A null fingerprint counts as the empty one.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        out = []
+        for row in pd.concat(list(batches)).sort_values(list(order)).itertuples():
+            now = row.now or ""
+            if last is None or now != last:
+                out.append((own[0], getattr(row, order[1]), last, now))
+                last = now
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "event_id", "before", "after"]).astype({"event_id": "int64"})
+
+    narrow = rows.select(key, *order, F.col(fingerprint).cast("string").alias("now"))
+    return narrow.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, before string, after string", "last string", "append", GroupStateTimeout.NoTimeout)
