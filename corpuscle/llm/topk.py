@@ -5,8 +5,9 @@ dimension). Every query block meets every candidate block once. Inside, partial
 products are accumulated a dimension block at a time; what the missing dimensions
 can still add is at most the product of the two remaining norms, so a candidate
 whose partial product plus that bound is below the query's k-th best so far is
-dropped, and the survivors are compacted before the next dimension block. A task
-reads a run of candidate blocks in turn and carries the k-th best along. Every
+dropped, and the survivors are compacted before the next dimension block. A tile of
+query blocks meets a run of candidate blocks in one group, which reads either once
+and carries the k-th best along. Every
 query block first meets one candidate block alone; the k-th best found there is
 the least that its queries ask of every run.
 
@@ -43,9 +44,9 @@ LOW, HIGH = -(2**63), 2**63 - 1
 K = 20
 #: Candidates and queries of a packed block, and dimensions accumulated at a time.
 BLOCK_ROWS, QUERY_ROWS, BLOCK_DIMS = 2048, 512, 16
-#: Candidate blocks, on average, that a query block meets in one row.
+#: Candidate blocks, on average, of a run.
 RUN = 4
-#: Query blocks, on average, that meet a run in one task, and lengths whose first blocks are sent to every task.
+#: Query blocks, on average, that meet a run in one group, and lengths whose first blocks are sent to every task.
 TILE, BROADCAST_LENGTHS = 64, 64
 #: Share of surviving pairs below which pairs are kept as a list.
 SPARSE = 0.05
@@ -184,20 +185,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     tiles = max(1, -(-q.count() // TILE))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.withColumn("tile", F.pmod(F.xxhash64("q_ids"), F.lit(tiles))).withColumn("run", every(runs))
-    met = q.join(c.withColumn("tile", every(tiles)), ["dims", "run", "tile"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                q_ids, m = _unpacked(x["dims"], x["q_ids"], x["q"])
-                best, floor = _none(m.shape[1]), np.frombuffer(x["floor"], np.float64)
-                for block in x["cs"]:
-                    search_block(best, floor, q_ids, m, *_unpacked(x["dims"], block["c_ids"], block["c"]), k)
-                of, ids = np.repeat(q_ids, [len(s) for s, _ in best], axis=1), np.concatenate([i for _, i in best], axis=1)
-                scores = np.array([min(max(int(v), LOW), HIGH) for s, _ in best for v in s], np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (*of, *ids, scores))], names=["query_id", "query_row", "id", "row", "score"])
-
-    found = map_batches(met.select("dims", "q_ids", "q", "floor", "cs"), run, "query_id bigint, query_row bigint, id bigint, row bigint, score bigint")
+    c = c.withColumn("tile", every(tiles)).withColumnRenamed("dims", "c_dims")
+
+    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        """A tile of query blocks meets a run of candidate blocks; either is read once."""
+        runs, out = [_unpacked(x["c_dims"], b["c_ids"], b["c"]) for x in blocks.to_pylist() for b in x["cs"]], []
+        for x in queries.to_pylist():
+            q_ids, m = _unpacked(x["dims"], x["q_ids"], x["q"])
+            best, floor = _none(m.shape[1]), np.frombuffer(x["floor"], np.float64)
+            for block in runs:
+                search_block(best, floor, q_ids, m, *block, k)
+            of, ids = np.repeat(q_ids, [len(s) for s, _ in best], axis=1), np.concatenate([i for _, i in best], axis=1)
+            scores = np.array([min(max(int(v), LOW), HIGH) for s, _ in best for v in s], np.int64)
+            out.append(pa.Table.from_arrays([*map(pa.array, (*of, *ids, scores))], names=["query_id", "query_row", "id", "row", "score"]))
+        none = pa.schema([(n, pa.int64()) for n in ("query_id", "query_row", "id", "row", "score")])
+        return pa.concat_tables(out) if out and runs else none.empty_table()
+
+    groups = q.groupBy("dims", "run", "tile").cogroup(c.groupBy("c_dims", "run", "tile"))
+    found = groups.applyInArrow(run, "query_id bigint, query_row bigint, id bigint, row bigint, score bigint")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
