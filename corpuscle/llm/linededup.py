@@ -40,14 +40,23 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, text_column: str, host_column: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> tuple[DataFrame, int]:
-    """(host, total, bad) for every host, and the number of all pages: bad holds the struct(h1, h2) of its boilerplate lines, or null."""
+    """(host, total, bad) for every host, and the number of all pages.
+
+    bad is null, or holds a host's n boilerplate lines in n buckets by h1, so that a line
+    is looked for in the one or two of its bucket: array<array<struct(h1, h2)>>.
+    """
     rows = pages.select(F.coalesce(F.col(host_column).cast("string"), F.lit("")).alias("host"), F.col(text_column).cast("string").alias("text"))
     totals = cut(rows.groupBy("host").agg(F.count("*").alias("total")))  # a row for each host
     every = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     lines = rows.where("text is not null").select("host", F.explode(own).alias("line")).select("host", "line.h1", "line.h2").groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_copies)
     judged = join_facts(lines, totals.where(F.col("total") >= min_pages).withColumn("pages", F.col("total")), ["host"], "total", every)
-    bad = judged.where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias("bad"))
+    lines = cut(judged.where(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "h1", "h2"))
+    sizes = lines.groupBy("host").agg(F.count("*").cast("int").alias("buckets"))
+    own = lines.join(sizes, "host").groupBy("host", F.pmod("h1", F.col("buckets")).cast("int").alias("bucket")).agg(F.collect_list(F.struct("h1", "h2")).alias("held"))
+    every_bucket = sizes.select("host", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket")).join(own, ["host", "bucket"], "left")
+    held = F.coalesce("held", F.array().cast("array<struct<h1: bigint, h2: bigint>>"))
+    bad = every_bucket.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", held.alias("held")))), lambda x: x["held"]).alias("bad"))
     return cut(totals.join(bad, "host", "left")), every
 
 
@@ -60,7 +69,8 @@ def drop_boilerplate(pages: DataFrame, text_column: str = "text", host_column: s
         rows = rows.join(F.broadcast(found.where("bad is not null").drop("total")), "host", "left")
     else:
         rows = join_facts(rows, found, ["host"], "total", every)
-    kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("bad"), _key(x)))
+    bucket = lambda x: F.get("bad", F.pmod(F.xxhash64(F.trim(x)), F.size("bad")).cast("int"))
+    kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains(bucket(x), _key(x)))
     rows = rows.withColumn("kept", F.when(F.col("bad").isNotNull() & F.col("text").isNotNull(), kept))
     whole = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("text"))))
