@@ -14,6 +14,8 @@ from corpuscle.shared import cut, join_facts
 
 __all__ = ["bound_batches", "bounded_sample", "cut", "fold", "join_facts", "keyed", "map_batches", "table", "words_of"]
 
+#: Classes of a bounded sample, the largest ones.
+MOST_CLASSES = 1024
 #: Rows and bytes that go to a Python worker in one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -38,20 +40,22 @@ def keyed(rows: DataFrame, *columns: str) -> DataFrame:
 def bounded_sample(texts: DataFrame, keys: DataFrame, classes: str, most_rows: int, most_bytes: int, long: int) -> DataFrame:
     """(class, rank, text) of a sample of texts(id, text), whole: at most most_rows of each class, most_bytes of all classes.
 
-    keys(class, h, size) are those of keyed(). Every class has the same part of the
-    bytes. Rows are taken by their hash, texts of more than long bytes last; a class's
-    first row always is; rows that repeat both id and text count once. Only keys are
-    shuffled and ranked, and of these no more than several times the sample, those
-    under a share of the hash range. Texts are looked up by the keys that were chosen.
+    keys(class, h, size) are those of keyed(). The MOST_CLASSES largest classes take part
+    and have the same part of the bytes each. Rows are taken by their hash, texts of more
+    than long bytes last; a text that alone is more than its class may have is never
+    taken, so a class of such texts has no sample. Rows that repeat both id and text count
+    once. Only keys are shuffled and ranked, and of these no more than several times the
+    sample, those under a share of the hash range. Texts are looked up by the keys that
+    were chosen.
     """
-    counts = keys.groupBy(classes).agg(F.count("*").alias("n"), F.count_if(F.col("size") <= long).alias("short"))
+    counts = keys.groupBy(classes).agg(F.count("*").alias("n"), F.count_if(F.col("size") <= long).alias("short")).orderBy(F.desc("n"), classes).limit(MOST_CLASSES)
     share = F.least(F.lit(1.0), F.lit(8.0 * most_rows) / F.when(F.col("short") > most_rows, F.col("short")).otherwise(F.col("n")))
-    per_class = counts.select(classes, share.alias("share"), (F.lit(most_bytes) / F.count("*").over(Window.partitionBy())).alias("budget"))  # a row for each class
-    near = keys.join(F.broadcast(per_class), classes).where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
+    per_class = counts.select(classes, share.alias("share"), (F.lit(most_bytes) / F.count("*").over(Window.partitionBy())).alias("budget"))  # at most MOST_CLASSES rows
+    near = keys.join(F.broadcast(per_class), classes).where((F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")) & (F.col("size") <= F.col("budget")))
     order = Window.partitionBy(classes).orderBy(F.col("size") > long, "h")
     ranked = near.dropDuplicates([classes, "h"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_rows)
     spent = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = ranked.withColumn("spent", spent).where((F.col("rank") == 1) | (F.col("spent") <= F.col("budget"))).select(classes, "rank", "h")
+    chosen = ranked.withColumn("spent", spent).where(F.col("spent") <= F.col("budget")).select(classes, "rank", "h")
     return keyed(texts, "text").drop("size").join(F.broadcast(chosen), "h").groupBy(classes, "rank").agg(F.any_value("text").alias("text"))
 
 
