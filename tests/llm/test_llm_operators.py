@@ -332,3 +332,59 @@ def test_quality_classifier(spark):
     assert out[400] == out[401] == out[402]
     none = quality.train(df, labels.where("false"), F.lit(True))
     assert {r["score"] for r in quality.score(df, none).collect()} == {0.5} and quality.score(docs(spark, []), model).count() == 0
+
+
+def test_a_label_that_the_search_misses_is_made_good(spark, monkeypatch):
+    """The label with the misses is small beside the other one, so recall over all would look well."""
+    real = neardup.search
+    monkeypatch.setattr(neardup, "search", lambda placed, adjacency: real(placed, adjacency).join(placed.where("place = 0 and key like '1:%'").select(F.col("ball").alias("a")), "a", "left_semi"))
+    rng = np.random.default_rng(15)
+    v = rng.normal(size=(330, 16))
+    v[300:] = v[rng.integers(0, 300, 30)] + rng.normal(scale=0.05, size=(30, 16))
+    v[150:300] = v[:150] + rng.normal(scale=0.07, size=(150, 16))
+    v[315:] = v[300:315] + rng.normal(scale=0.07, size=(15, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([1] * 300 + [2] * 30)
+    df = spark.createDataFrame([(i, [float(x) for x in a], int(y)) for i, (a, y) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()}
+    want = (((v @ v.T) >= 0.93) & (label[:, None] == label[None])).sum(axis=1) - 1
+    assert all(got[i] == want[i] for i in range(300, 330)) and want[300:].sum() > 0
+
+
+def test_every_large_label_gets_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARD", 40)
+    monkeypatch.setattr(neardup, "DEAL", 30)
+    rng = np.random.default_rng(16)
+    v = rng.normal(size=(700, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    found = neardup.nodes(neardup.usable(spark.createDataFrame([(i, i % 7 if i < 690 else 99, [float(x) for x in a]) for i, a in enumerate(v)], "id long, label int, vector array<double>")))
+    centres = neardup.centroids(found)
+    assert {r["key"] for r in centres.collect()} == {f"{y}:8" for y in range(7)}
+    dealt = neardup.deal(found, centres, 2).toPandas()
+    assert sorted(dealt[dealt["place"] == 0]["node"]) == sorted(r["node"] for r in found.collect())
+    assert dealt[dealt["key"] != "99:8"].groupby("node").size().eq(2).all() and dealt[dealt["key"] == "99:8"]["cell"].eq(0).all()
+    own = {r["key"]: np.frombuffer(r["centres"]).reshape(-1, 8) for r in centres.collect()}
+    for r in dealt[(dealt["place"] == 0) & (dealt["key"] != "99:8")].itertuples():
+        assert r.cell == int((own[r.key] @ np.array(r.unit)).argmax())
+
+
+def test_a_sample_keeps_its_budget(spark):
+    from corpuscle.llm.common import bounded_sample, keyed
+
+    rows = [(i, "x" * (5000 if i < 3 else 40) + str(i), "a" if i < 50 else "b") for i in range(90)] + [(90 + i, "y" * 9000 + str(i), "c") for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = bounded_sample(df, keyed(df, "lang"), "lang", 20, 3 * 1000, 100).collect()
+    for name in "abc":
+        own = [r for r in got if r["lang"] == name]
+        assert sum(len(r["text"]) for r in own) <= 1000 and (len(own) == 20 if name in "ab" else not own)
+
+
+def test_many_boilerplate_lines_of_a_host(spark):
+    rng = random.Random(17)
+    common_lines = [f"boiler {i}" for i in range(300)]
+    texts = ["\n".join(rng.sample(common_lines, 60) + [f"own {n} {i}" for i in range(20)]) for n in range(60)]
+    out = {r["doc_id"]: r["text"] for r in linededup.drop_boilerplate(docs(spark, texts, ["a", "b"]), details=False).collect()}
+    for host in (0, 1):
+        pages = {n: t.split("\n") for n, t in enumerate(texts) if n % 2 == host}
+        bad = {x for x in common_lines if (c := sum(x in p for p in pages.values())) > 0.05 * len(pages) and c >= 4}
+        assert bad and all(out[n] == "\n".join(x for x in p if x not in bad) for n, p in pages.items())
