@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import bpe, chat, decontam, langid, lexical, linededup, neardup, negatives, packing, quality, secret_scan, simhash, topk
 from corpuscle.llm.common import fold, table
 
-#: Folder of the public vocabulary files; every operator takes the path as a parameter.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
-WORD_BPE = os.path.join(TOKENIZERS, "word_bpe_49k.json")
+#: Public vocabulary files; every operator takes the path as a parameter.
+BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
