@@ -16,6 +16,12 @@ STOPWORDS = [
     "use", "using", "used", "how", "what", "when", "where", "why",
 ]
 
+# Task terms that say little.
+GENERIC_TERMS = [
+    "add", "added", "change", "changed", "changes", "clean", "cleanup", "code", "commit", "context", "debug", "dev", "development", "doc", "docs", "eval", "evals", "feature", "fix", "freshness", "general",
+    "gap", "gaps", "generic", "impl", "implement", "implementation", "improve", "issue", "metric", "metrics", "noise", "noisy", "package", "pack", "packs", "quality", "release", "remaining", "repo", "root", "rule", "rules",
+    "source", "stat", "stats", "sync", "task", "tasks", "test", "tests", "text", "update", "use", "useful", "usefulness", "version", "visibility", "workflow", "workflows", "wording",
+]
 # A conventional commit, in any case; literal phrases and the group that is the phrase; an API path and its parameters.
 COMMIT = r"^\s*([a-z][a-z0-9-]*)(?:\(([^)]{1,80})\))?!?:\s*(.+)$"
 PHRASES = [
@@ -43,9 +49,16 @@ def path_tokens(path: Column) -> Column:
     return F.array_distinct(ordered_tokens(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")))
 
 
+def match_text(text: Column) -> Column:
+    """A task as it is matched: of a conventional commit the kind, the tokens of the scope and the subject, else the text itself."""
+    parts = conventional_commit(text)
+    said = F.trim(F.concat(parts["kind"], F.lit(" "), F.array_join(ordered_tokens(parts["scope"]), " "), F.lit(" "), parts["subject"]))
+    return F.when(parts["kind"].isNotNull(), said).otherwise(text)
+
+
 def task_terms(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Query terms of three or more characters that are no stopwords, in order, repeats kept."""
-    words = F.split(F.lower(text), "[^a-z0-9]+")
+    words = F.split(F.lower(match_text(text)), "[^a-z0-9]+")
     return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(_array(stopwords), w))
 
 
@@ -65,10 +78,10 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def singular(word: Column) -> Column:
-    """The singular of a plural word of five or more letters; null where no rule applies."""
+    """The singular of a plural word of five or more letters; null for generic terms and where no rule applies."""
     n = F.length(word)
     return (
-        F.when(n < 5, None)
+        F.when((n < 5) | word.isin(GENERIC_TERMS), None)
         .when(word.endswith("ies") & (n > 5), F.concat(F.substr(word, F.lit(1), n - 3), F.lit("y")))
         .when(word.rlike("(sses|xes|ches|shes)$") & (n > 5), F.substr(word, F.lit(1), n - 2))
         .when(word.endswith("s") & ~word.rlike("(ss|us|is)$"), F.substr(word, F.lit(1), n - 1))
@@ -84,10 +97,10 @@ def conventional_commit(text: Column) -> Column:
 
 
 def literal_phrases(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
-    """Distinct phrases of 2 to 8 tokens that are quoted, in backticks, or joined by hyphens, slashes or underscores."""
+    """Distinct phrases of 2 to 8 tokens, not all of them generic, that are quoted, in backticks, or joined by hyphens, slashes or underscores."""
     raw = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in PHRASES))
     kept = F.transform(raw, lambda r: F.filter(ordered_tokens(r), lambda t: (F.length(t) >= 2) & ~F.array_contains(_array(stopwords), t)))
-    return F.array_distinct(F.transform(F.filter(kept, lambda k: F.size(k).between(2, 8)), lambda k: F.array_join(k, " ")))
+    return F.array_distinct(F.transform(F.filter(kept, lambda k: F.size(k).between(2, 8) & F.exists(k, lambda t: ~t.isin(GENERIC_TERMS))), lambda k: F.array_join(k, " ")))
 
 
 def api_path(text: Column) -> Column:

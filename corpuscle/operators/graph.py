@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.shared import cut
@@ -20,6 +21,41 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> Da
     return {"out": out, "in": back}.get(direction, out.unionByName(back))
 
 
+def adjacent(edges: DataFrame, nodes: DataFrame, relationship: str | None = None, direction: str = "both", limit: int = 100) -> DataFrame:
+    """(node, other, type, side): each node's first edges by type, other end and side, of one relationship or of all.
+
+    With both directions a loop counts once, as an edge that goes out.
+    """
+    own = edges if relationship is None else edges.where(F.col("type") == relationship)
+    found = neighbors(own, nodes, direction)
+    found = found.where(~((F.col("side") == "in") & (F.col("other") == F.col("node")))) if direction == "both" else found
+    order = Window.partitionBy("node").orderBy("type", "other", "side")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+
+
+def browse(edges: DataFrame, entities: DataFrame, relationship: str | None = None, confidence: str | None = None, language: str | None = None, source: str | None = None, terms: Sequence[str] = (), limit: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Edges (key, src, dst, type) that pass all filters, the first by key, and the entities at their ends.
+
+    edges(key, src, dst, type, confidence, sources array) pass a source filter if any of
+    their sources is it; entities(entity, name, language) pass terms if the name of one
+    end holds all of them, in any case, and a language filter if one end has it.
+    """
+    own = edges
+    own = own if relationship is None else own.where(F.col("type") == relationship)
+    own = own if confidence is None else own.where(F.col("confidence") == confidence)
+    own = own if source is None else own.where(F.exists("sources", lambda s: s == source))
+    low = F.lower("name")
+    fits = F.lit(True)
+    for t in terms:
+        fits = fits & F.contains(low, F.lit(t.lower()))
+    ends = entities.select("entity", fits.alias("named"), (F.lit(True) if language is None else F.coalesce(F.col("language") == language, F.lit(False))).alias("spoken"))
+    end = lambda c: ends.select(F.col("entity").alias(c), F.col("named").alias(f"{c}_named"), F.col("spoken").alias(f"{c}_spoken"))
+    met = own.join(end("src"), "src").join(end("dst"), "dst").where("(src_named or dst_named) and (src_spoken or dst_spoken)")
+    first = cut(met.select("key", "src", "dst", "type").orderBy("key").limit(max(1, min(limit, 500))))
+    seen = first.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
+    return first, entities.join(F.broadcast(seen), "entity", "left_semi")  # at most 1,000 ends
+
+
 def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, hop): seeds' undirected neighbours at distance one or two, seeds left out."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -53,15 +89,20 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, directe
     return reduce(DataFrame.unionByName, levels)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 6) -> DataFrame:
-    """(hop, node) rows of one undirected shortest path; none if source equals target or no path is short enough."""
+def shortest_path(edges: DataFrame, source: str | Sequence[str], target: str | Sequence[str], max_hops: int = 6) -> DataFrame:
+    """(hop, node) rows of one undirected shortest path from any source to the nearest target, the smallest of equals.
+
+    None if a source is a target or no path is short enough.
+    """
     spark = edges.sparkSession
-    levels = bfs(edges, spark.createDataFrame([(source,)], "node string"), max_hops)
+    starts, ends = ([x] if isinstance(x, str) else list(x) for x in (source, target))
     path: list[tuple[int, str]] = []
-    at = levels.where(F.col("node") == target).first() if source != target else None
-    while at is not None:  # at most max_hops point look-ups
-        path.append((at["hop"], at["node"]))
-        at = levels.where(F.col("node") == at["parent"]).first() if at["parent"] is not None else None
+    if not set(starts) & set(ends):
+        levels = bfs(edges, spark.createDataFrame([(s,) for s in starts], "node string"), max_hops)
+        at = levels.where(F.col("node").isin(ends)).orderBy("hop", "node").first()
+        while at is not None:  # at most max_hops point look-ups
+            path.append((at["hop"], at["node"]))
+            at = levels.where(F.col("node") == at["parent"]).first() if at["parent"] is not None else None
     return spark.createDataFrame(path[::-1], "hop int, node string")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.shared import cut
+
 
 def keyed_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """(key, status): added, deleted, modified or unchanged by a full outer equi-join on the key."""
@@ -87,7 +89,28 @@ def sessions(df: DataFrame, key: list[str], ts: str, gap_seconds: int) -> DataFr
     return df.groupBy(*key, F.session_window(ts, f"{gap_seconds} seconds").alias("_w")).agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count("*").alias("n")).drop("_w")
 
 
+def running(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """df with rank and spent, the running count and sum of value within each key: a window over parts of a key, never over a key as a whole.
+
+    Rows are dealt in ranges of (keys, order), so that a key's rows lie in consecutive
+    parts; what comes before a part is a sum over the parts of its key, of which there
+    are no more than keys and partitions together. Rows that are equal in keys and
+    order share a part.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    per = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    own = Window.partitionBy(*keys, "_part").orderBy(*order)
+    met = dealt.join(base, same)
+    ranked = met.withColumn("rank", F.row_number().over(own) + F.col("_n0")).withColumn("spent", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_s0"))
+    return ranked.select(*df.columns, "rank", "spent")
+
+
 def budget_prefix(df: DataFrame, key: list[str], order: list[Column], tokens: str, budget: int) -> DataFrame:
     """Rows of each key up to the first one that would exceed the budget."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(tokens).over(w)).where(F.col("spent") <= budget)
+    return running(df, key, order, tokens).drop("rank").where(F.col("spent") <= budget)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text
+from corpuscle.functions.text import GENERIC_TERMS
 from corpuscle.operators.boosts import CONFIG_STEMS, CONFIG_SUFFIXES, route_terms
 from corpuscle.operators.related import IMPLEMENTATION_ROLES, NOISE
 from corpuscle.shared import cut
@@ -57,12 +58,6 @@ SUMMARY_FIELDS = [
 GENERIC_VALUES = ["HTTP API route handler", "React UI component", "React page component", "React page: page", "entrypoint", "configuration", "api", "frontend", "data"]
 GENERIC_RANKING = ["handler", "http", "route", "api", "component", "page"]
 GENERIC_MOST, GENERIC_RANKING_MOST = 16.0, 10.0
-# Task terms that say little.
-GENERIC_TERMS = [
-    "add", "added", "change", "changed", "changes", "clean", "cleanup", "code", "commit", "context", "debug", "dev", "development", "doc", "docs", "eval", "evals", "feature", "fix", "freshness", "general",
-    "gap", "gaps", "generic", "impl", "implement", "implementation", "improve", "issue", "metric", "metrics", "noise", "noisy", "package", "pack", "packs", "quality", "release", "remaining", "repo", "root", "rule", "rules",
-    "source", "stat", "stats", "sync", "task", "tasks", "test", "tests", "text", "update", "use", "useful", "usefulness", "version", "visibility", "workflow", "workflows", "wording",
-]
 # Terms that make a task one of tests, of a release, of the build.
 TEST_TERMS = ["test", "tests", "spec", "specs"]
 RELEASE_TERMS = ["release", "version", "prerelease", "bump", "publish", "tag", "pypi", "npm", "metadata", "license"]

@@ -157,14 +157,26 @@ w AS (SELECT term, greatest(0, least(1, ln((n + 1) / (df + 1)) / ln(n + 1.0))) *
 s AS (SELECT item_id, doc_id, count(*) AS hits, sum(CAST(round(w * 1e6) AS BIGINT)) AS score FROM q JOIN d USING (term) JOIN w USING (term) GROUP BY item_id, doc_id)"""
 
 
+#: Rows of (item, term) that are sent to every task; beyond it the join shuffles.
+BROADCAST_ASKED = 200_000
+
+
 def task_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, hits, score): an inverted-index join of distinct terms, weights in millionths."""
+    """(item_id, doc_id, hits, score): documents that share terms with an item, weights in millionths.
+
+    Only terms that an item asks for are shuffled, by document: a document's terms lie
+    together, so scores are summed where they are, no term is a key, and what leaves a
+    task are its best rows of each item. Beyond BROADCAST_ASKED the terms themselves meet.
+    """
     docs = files(spark, sf_dir)
     wanted = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(text.task_terms(F.col("text")))).alias("term"))
     held = docs.select("doc_id", F.explode(F.array_distinct(text.ordered_tokens(F.col("text")))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    few = wanted.count() <= BROADCAST_ASKED
+    held = held.repartition("doc_id") if few else held
     total = docs.agg(F.count("*").alias("n"))
     weight = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.round((rel.rarity(F.col("n"), F.col("df")) * 0.7 + 0.55) * 1e6).cast("bigint").alias("w"))
-    return wanted.join(weight, "term").join(held, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.sum("w").alias("score"))
+    asked = wanted.join(weight, "term")
+    return held.join(F.broadcast(asked) if few else asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.sum("w").alias("score"))
 
 
 @query("COL01 RNK01 SRT01", MATCH_SQL + "SELECT item_id, doc_id, hits, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10")
@@ -194,16 +206,22 @@ def task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("doc_id", "path", "score")
 
 
-@query("SRT02 RNK09", f"SELECT doc_id, CAST(score AS DOUBLE) AS score, row_number() OVER (ORDER BY doc_id % 11 = 0 DESC, score DESC, doc_id) AS rank FROM ({SCORE_SQL}) QUALIFY rank <= (SELECT greatest(48, least(120, 32 + 4 * count(*))) FROM documents WHERE doc_id % 11 = 0)")
+ROUTE_SQL = f"""WITH s AS (SELECT doc_id, p AS path, doc_id % 11 = 0 AS changed, CAST(score AS DOUBLE) AS score FROM ({SCORE_SQL})), n AS (SELECT greatest(48, least(120, 32 + 4 * greatest(1, count(*)))) AS n FROM documents WHERE doc_id % 11 = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY changed DESC, score DESC, path DESC, doc_id DESC) AS rank FROM s) SELECT doc_id, CASE WHEN rank <= n THEN score ELSE 1000 END AS score, CASE WHEN rank <= n THEN rank END AS rank FROM r, n WHERE rank <= n OR changed"""
+
+
+@query("SRT02 RNK09", ROUTE_SQL)
 def route_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The limit depends on the number of changed rows; a global order that stops at the limit."""
-    found = scored(spark, sf_dir)
-    most = found.agg(F.greatest(F.lit(48), F.least(F.lit(120), 32 + 4 * F.count_if("changed"))).alias("n")).first()["n"]
-    top = found.orderBy(F.desc("changed"), F.desc("score"), "doc_id").limit(most).select("doc_id", "score", "changed")
+    """The first rows of one order, as many as the changed rows allow, and the changed rows that the limit left out, at a score of 1000."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.orderBy(F.desc("changed"), F.desc("score"), "doc_id"))  # at most 120 rows
-    return top.select("doc_id", "score", rank.cast("bigint").alias("rank"))
+    found = scored(spark, sf_dir).select("doc_id", "path", "score", "changed")
+    changed = read(spark, sf_dir, "documents").where("doc_id % 11 = 0").agg(F.greatest(F.lit(48), F.least(F.lit(120), 32 + 4 * F.greatest(F.lit(1), F.count("*")))).alias("n"))  # one row
+    order = [F.desc("changed"), F.desc("score"), F.desc("path"), F.desc("doc_id")]
+    top = found.orderBy(*order).limit(120).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # at most 120 rows
+    top = top.crossJoin(F.broadcast(changed)).where("rank <= n").select("doc_id", "score", "rank")
+    missed = found.where("changed").select("doc_id").join(F.broadcast(top.select("doc_id")), "doc_id", "left_anti")
+    return top.unionByName(missed.select("doc_id", F.lit(1000.0).alias("score"), F.lit(None).cast("bigint").alias("rank")))
 
 
 DOMAINS = [("grammar", ["the", "and", "of", "that"]), ("romance", ["les", "la", "el", "de"]), ("german", ["der", "die", "und", "ein"]), ("endings", ["ing", "tion", "er", "ed"])]
@@ -331,7 +349,10 @@ def task_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", task.alias("task"), F.substring(F.sha2(task, 256), 1, 16).alias("task_hash"))
 
 
-@query("STR05", r"WITH w AS (SELECT unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS word FROM documents) SELECT DISTINCT word, CASE WHEN word LIKE '%ies' AND length(word) > 5 THEN left(word, length(word) - 3) || 'y' WHEN regexp_matches(word, '(sses|xes|ches|shes)$') AND length(word) > 5 THEN left(word, length(word) - 2) WHEN word LIKE '%s' AND NOT regexp_matches(word, '(ss|us|is)$') THEN left(word, length(word) - 1) END AS singular FROM w WHERE length(word) >= 5 AND word LIKE '%s'")
+GENERIC_SQL = "[" + ", ".join(f"'{w}'" for w in text.GENERIC_TERMS) + "]"
+
+
+@query("STR05", rf"WITH w AS (SELECT unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS word FROM documents) SELECT DISTINCT word, CASE WHEN list_contains({GENERIC_SQL}, word) THEN NULL WHEN word LIKE '%ies' AND length(word) > 5 THEN left(word, length(word) - 3) || 'y' WHEN regexp_matches(word, '(sses|xes|ches|shes)$') AND length(word) > 5 THEN left(word, length(word) - 2) WHEN word LIKE '%s' AND NOT regexp_matches(word, '(ss|us|is)$') THEN left(word, length(word) - 1) END AS singular FROM w WHERE length(word) >= 5 AND word LIKE '%s'")
 def singular_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).where("length(word) >= 5 and word like '%s'").distinct()
     return words.select("word", text.singular(F.col("word")).alias("singular"))

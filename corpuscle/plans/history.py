@@ -75,10 +75,11 @@ def learned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("kind", kind)
 
 
-@query("AGG06", "SELECT event_type, count(*) AS n, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS packed, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
+@query("AGG06", "SELECT event_type, count(*) AS n, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS packed, greatest(0, round(sum(CASE WHEN event_type IN ('purchase', 'view') THEN value ELSE 0 END), 4) - round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4)) AS saved, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
 def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = F.round(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0)), 4)
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), packed.alias("packed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    raw = F.round(F.sum(F.when(F.col("event_type").isin("purchase", "view"), F.col("value")).otherwise(0)), 4)
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), packed.alias("packed"), F.greatest(F.lit(0.0), raw - packed).alias("saved"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @query("SRC09 SRC10 SNK01 SNK09", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 500")

@@ -44,7 +44,7 @@ def _manifest(spark: SparkSession, root: str, version: int, rows: list[tuple]) -
 def publish(tables: dict[str, DataFrame], root: str) -> int:
     """Write a new version of all tables and return its number. Until the manifest is there, readers see the version before."""
     spark = next(iter(tables.values())).sparkSession
-    version = max((v for v, _ in versions(spark, root)), default=0) + 1
+    version = _next(spark, root)
     rows = []
     for name, df in tables.items():
         path = f"data/{name}/{version:012d}"
@@ -53,6 +53,14 @@ def publish(tables: dict[str, DataFrame], root: str) -> int:
     return version
 
 
+def _next(spark: SparkSession, root: str) -> int:
+    """A number above those of all manifests, torn ones too."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return max((int(n) for n in names if n.isdigit()), default=0) + 1
+
+
 def versions(spark: SparkSession, root: str) -> list[tuple[int, list]]:
     """(version, manifest rows) of the versions whose manifest is whole, the newest first: a row for each table of each version."""
     try:
@@ -86,7 +94,7 @@ def load(spark: SparkSession, root: str, rebuild: dict[str, Callable[[], DataFra
         if lost and not all(n in (rebuild or {}) for n in lost):
             continue
         if lost:
-            version = versions(spark, root)[0][0] + 1
+            version = _next(spark, root)
             kept = [(r["name"], r["path"], r["n"], r["digest"]) for r in good.values()]
             for name in lost:
                 path = f"data/{name}/{version:012d}"

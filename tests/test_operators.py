@@ -1,5 +1,6 @@
 """Golden and brute-force tests of operators, sources and streams."""
 
+import random
 import subprocess
 
 import numpy as np
@@ -207,3 +208,36 @@ def test_binary_by_a_zero_byte_anywhere(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     found = {r["path"]: (r["bucket"], r["language"]) for r in readers.scan_tree(spark, str(tmp_path)).collect()}
     assert {k: v[0] for k, v in found.items()} == {"a.txt": "binary", "b.txt": "packable", "c.txt": "packable", "d.sh": "packable"} and found["d.sh"][1] == "bash"
+
+
+def test_running_sums_cross_parts(spark):
+    rng = random.Random(41)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(20), i, rng.choice([1, 2, 5])) for i in range(400)]
+    got = rel.running(spark.createDataFrame(rows, "k string, o int, i int, v long"), ["k"], [F.desc("o"), F.col("i")], "v").collect()
+    want = {}
+    for key in {r[0] for r in rows}:
+        total = 0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))):
+            total += r[3]
+            want[r[2]] = (n + 1, total)
+    assert {r["i"]: (r["rank"], r["spent"]) for r in got} == want and len(got) == len(rows)
+    assert rel.running(spark.createDataFrame([], "k string, o int, v long"), ["k"], [F.col("o")], "v").count() == 0
+
+
+def test_adjacency_and_browse(spark):
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "a", "x"), ("a", "a", "x"), ("a", "c", "y"), ("d", "a", "x")], "src string, dst string, type string")
+    nodes = spark.createDataFrame([("a",)], "node string")
+    assert [(r["other"], r["side"]) for r in graph.adjacent(edges, nodes, "x").orderBy("other", "side").collect()] == [("a", "out"), ("b", "in"), ("b", "out"), ("d", "in")]
+    assert graph.adjacent(edges, nodes, limit=2).count() == 2 and graph.adjacent(edges, nodes, direction="out").count() == 3
+    full = edges.selectExpr("concat(src, dst) key", "src", "dst", "type", "if(type = 'x', 'high', 'low') confidence", "array(type, 's') sources")
+    names = spark.createDataFrame([("a", "Alpha One", "py"), ("b", "Beta", "go"), ("c", "Gamma one", None), ("d", None, "py")], "entity string, name string, language string")
+    found, ends = graph.browse(full, names, terms=["ONE", "alp"], language="go", source="s")
+    assert {r["key"] for r in found.collect()} == {"ab", "ba"} and {r["entity"] for r in ends.collect()} == {"a", "b"}
+    assert graph.browse(full, names, confidence="low")[0].count() == 1 and graph.browse(full, names, relationship="none")[1].count() == 0
+
+
+def test_tasks_phrases_and_generic_terms(spark):
+    assert one(spark, text.task_terms(F.lit("Fix(userService)!: handle empty orders"))) == ["fix", "user", "service", "handle", "empty", "orders"]
+    assert one(spark, text.task_terms(F.lit("no commit: in two\nlines"))) == ["commit", "two", "lines"]
+    assert one(spark, text.literal_phrases(F.lit("`update tests` and 'update orders' in docs/tests"))) == ["update orders"]
+    assert [one(spark, text.singular(F.lit(w))) for w in ("changes", "orders", "tests", "status", "entries")] == [None, "order", None, None, "entry"]
