@@ -17,9 +17,8 @@ BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tok
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
-    rows = rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("vector"))
-    rows = topk.numbered(rows)
-    return topk.top_k(rows.where("id % 20 = 0"), rows).withColumnRenamed("id", "vec_id")
+    rows = topk.numbered(rows.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("vector")))
+    return topk.top_k(rows.where("id % 20 = 0"), rows, scale=64).withColumnRenamed("id", "vec_id")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,22 @@ def test_top_k_beyond_64_bits(spark):
     assert [(r["id"], r["score"]) for r in got] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, 2**63 - 1)]
 
 
+@pytest.mark.parametrize("size", [1e8, 1e20, 1e307])
+def test_top_k_ranks_scores_beyond_64_bits(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "RUN", 1)
+    rng = np.random.default_rng(31)
+    rows = [(i, [float(x) for x in v * size]) for i, v in enumerate(rng.uniform(-1, 1, (90, 24)))]
+    rows += [(100 + i, [size * (-1) ** i] + [0.0] * 23) for i in range(40)] + [(200 + i, [0.0] * 22 + [float(i), 1.0]) for i in range(40)]
+    df = topk.numbered(spark.createDataFrame(rows, "id long, vector array<double>"))
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in topk.top_k(df.where("id % 20 = 0"), df, 20, scale=64).collect()}
+    exact = {i: [int(x) * 64 if abs(x) > 2**53 else int(np.floor(x * 64)) for x in v] for i, v in rows}
+    want = {}
+    for q in (i for i in exact if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)[:20]
+        want |= {(q, n + 1): (i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(best)}
+    assert got == want and max(s for _, s in want.values()) == 2**63 - 1
+
+
 def test_top_k_prunes_nothing_that_counts():
     rng = np.random.default_rng(8)
     q, c = rng.integers(-60, 60, (48, 5)), rng.integers(-60, 60, (48, 400))
