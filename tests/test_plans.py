@@ -97,3 +97,10 @@ def test_bigrams_of_a_long_text(spark, tmp_path):
     rows = plans.QUERIES["workspace_bigram_rarity"](spark, str(tmp_path)).collect()
     assert len(rows) == 2 * len(want) and {r["source"] for r in rows} == {None, "a"}
     assert time.monotonic() - began < 60
+
+
+def test_whole_history_counts(spark, con):
+    """No window of recent commits or events: as many paths as all changes of the tables have."""
+    churn = con.sql("SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY n DESC").fetchall()
+    edge = churn[max(1, len(churn) // 10) - 1][1]
+    assert {tuple(r) for r in plans.QUERIES["churn_top_decile"](spark, BASE).collect()} == {(p, n) for p, n in churn if n >= edge}
