@@ -23,12 +23,6 @@ def recent_commits(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts")).orderBy(F.desc("ts"), F.desc("commit_id")).limit(n)
 
 
-def recent_changes(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
-    """(commit_id, path) of the last n commits, a broadcast of n rows."""
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"))
-    return lines.join(F.broadcast(recent_commits(spark, sf_dir, n).select("commit_id")), "commit_id")
-
-
 @query("SRC06 SRC07", f"WITH {RECENT_SQL} SELECT commit_id, l_partkey AS path, count(*) AS n FROM recent JOIN lineitem ON commit_id = l_orderkey GROUP BY commit_id, l_partkey")
 def recently_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"))
@@ -52,11 +46,11 @@ def churn_top_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.crossJoin(F.broadcast(edge)).where("churn >= edge").select("path", "churn")
 
 
-@query("AGG02 RNK04", f"WITH {RECENT_SQL}, c AS (SELECT commit_id, l_partkey AS path FROM recent JOIN lineitem ON l_orderkey = commit_id), seeds AS (SELECT p_partkey FROM part WHERE p_size <= 10), s AS (SELECT DISTINCT commit_id FROM c WHERE path IN (FROM seeds)) SELECT path, count(DISTINCT commit_id) AS n FROM c WHERE commit_id IN (FROM s) AND path NOT IN (FROM seeds) GROUP BY path")
+@query("AGG02 RNK04", f"WITH {CHANGES_SQL}, seeds AS (SELECT p_partkey FROM part WHERE p_size <= 10), s AS (SELECT DISTINCT commit_id FROM changes WHERE path IN (FROM seeds)) SELECT path, count(DISTINCT commit_id) AS n FROM changes WHERE commit_id IN (FROM s) AND path NOT IN (FROM seeds) GROUP BY path")
 def co_changed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each path was changed together with a small part, among the last 200 commits."""
+    """How often each path was changed together with a small part."""
     seeds = read(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("path"))
-    return rel.co_changed(recent_changes(spark, sf_dir), seeds, "commit_id", "path")
+    return rel.co_changed(changes(spark, sf_dir).drop("ts"), seeds, "commit_id", "path")
 
 
 NOISE_SQL = "least(45, 6 * n + 4 * greatest(0, n - 2))"

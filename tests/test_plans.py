@@ -104,3 +104,6 @@ def test_whole_history_counts(spark, con):
     churn = con.sql("SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY n DESC").fetchall()
     edge = churn[max(1, len(churn) // 10) - 1][1]
     assert {tuple(r) for r in plans.QUERIES["churn_top_decile"](spark, BASE).collect()} == {(p, n) for p, n in churn if n >= edge}
+    small = "SELECT p_partkey FROM part WHERE p_size <= 10"
+    together = con.sql(f"SELECT l_partkey, count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey IN ({small})) AND l_partkey NOT IN ({small}) GROUP BY 1")
+    assert {tuple(r) for r in plans.QUERIES["co_changed_parts"](spark, BASE).collect()} == set(together.fetchall())
