@@ -111,8 +111,8 @@ def task_terms(task: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
 
 
-def route_priors(df: DataFrame, task: str, path: str, place: str, wanted: str, limit: int = 5, last: int = LAST_EVENTS, noisy_folders: tuple[str, ...] = ()) -> DataFrame:
-    """(path, score, events, confidence, evidence, last): paths of earlier work on tasks that share terms with `wanted`, out of the last events by place.
+def route_priors(df: DataFrame, task: str, path: str, place: str, wanted: str, limit: int = 5, last: int | None = LAST_EVENTS, noisy_folders: tuple[str, ...] = ()) -> DataFrame:
+    """(path, score, events, confidence, evidence, last): paths of earlier work on tasks that share terms with `wanted`, out of the last events by place, or of all (last None).
 
     An event adds the number of shared terms and up to three for terms in the path.
     Evidence is the first three tasks of a path, last its latest; both are looked up
@@ -124,7 +124,7 @@ def route_priors(df: DataFrame, task: str, path: str, place: str, wanted: str, l
         noisy = noisy | F.col(path).endswith(s)
     parts = F.split(F.translate(F.lower(path), "/_-.", "    "), " ")
     bonus = F.least(F.lit(3), F.size(F.array_intersect(F.array_distinct(parts), terms)))
-    rows = df.orderBy(F.desc(place)).limit(last).select(F.col(path).alias("path"), F.col(task).alias("task"), F.col(place).alias("place"), F.size(F.array_intersect(task_terms(F.col(task)), terms)).alias("shared"), bonus.alias("bonus"))
+    rows = (df if last is None else df.orderBy(F.desc(place)).limit(last)).select(F.col(path).alias("path"), F.col(task).alias("task"), F.col(place).alias("place"), F.size(F.array_intersect(task_terms(F.col(task)), terms)).alias("shared"), bonus.alias("bonus"))
     rows = rows.where((F.col("shared") > 0) & ~noisy)
     best = rows.groupBy("path").agg(F.sum(F.col("shared") + F.col("bonus")).alias("score"), F.count("*").alias("events"), F.max_by("task", "place").alias("last")).orderBy(F.desc("score"), "path").limit(limit)
     early = rows.join(F.broadcast(best.select("path")), "path").withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("place"))).where("i <= 3")

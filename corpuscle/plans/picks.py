@@ -59,13 +59,13 @@ def lane_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.lane_topics(rows, "o_custkey", "o_orderkey", "o_orderpriority", "lanes", "mastered", [F.desc("o_totalprice"), F.col("o_orderkey")])
 
 
-@query("SRT06", rf"""WITH e AS (SELECT doc_id, {PATH} AS path, {TASK} AS task FROM documents ORDER BY doc_id DESC LIMIT 500), t AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(task), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS terms, list_distinct(string_split(translate(lower(path), '/_-.', '    '), ' ')) AS parts FROM e),
+@query("SRT06", rf"""WITH e AS (SELECT doc_id, {PATH} AS path, {TASK} AS task FROM documents), t AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(task), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS terms, list_distinct(string_split(translate(lower(path), '/_-.', '    '), ' ')) AS parts FROM e),
 s AS (SELECT *, len(list_intersect(terms, ['fix', 'user', 'service', 'order', 'tests', 'login'])) AS shared, least(3, len(list_intersect(parts, ['fix', 'user', 'service', 'order', 'tests', 'login']))) AS bonus FROM t),
 p AS (SELECT path, CAST(sum(shared + bonus) AS BIGINT) AS score, count(*) AS events, list(task ORDER BY doc_id)[1:3] AS evidence, arg_max(task, doc_id) AS last FROM s WHERE shared > 0 GROUP BY path)
 SELECT path, score, events, round(least(0.85, 0.35 + score * 0.08 + least(events, 3) * 0.08), 2)::DOUBLE AS confidence, array_to_string(evidence, '; ') AS evidence, last FROM p ORDER BY score DESC, path LIMIT 5""")
 def observer_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", F.expr(PATH).alias("path"), F.expr(TASK).alias("task"))
-    out = picks.route_priors(rows, "task", "path", "doc_id", "Fix user-service & order tests: login")
+    out = picks.route_priors(rows, "task", "path", "doc_id", "Fix user-service & order tests: login", last=None)
     return out.withColumn("evidence", F.array_join("evidence", "; "))
 
 

@@ -107,3 +107,9 @@ def test_whole_history_counts(spark, con):
     small = "SELECT p_partkey FROM part WHERE p_size <= 10"
     together = con.sql(f"SELECT l_partkey, count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey IN ({small})) AND l_partkey NOT IN ({small}) GROUP BY 1")
     assert {tuple(r) for r in plans.QUERIES["co_changed_parts"](spark, BASE).collect()} == set(together.fetchall())
+
+
+def test_priors_of_all_events(spark, tmp_path):
+    """A path whose only events lie before the last 500 is a prior too."""
+    spark.range(4).union(spark.range(1_000_007, 1_000_607).where("id % 8 = 7")).union(spark.range(2_000_000, 2_008_000).where("id % 8 = 7")).selectExpr("id AS doc_id", "'text' AS text", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["events"] for r in plans.QUERIES["observer_priors"](spark, str(tmp_path)).collect()} == {1}
