@@ -218,3 +218,21 @@ def test_fingerprints_fire_once_for_each_change_over_two_runs(spark, tmp_path):
     first = run([(0, 1, "a"), (1, 1, "a"), (2, 2, "b"), (3, 1, "c")])
     assert first == [(1, 0, None, "a"), (1, 3, "a", "c"), (2, 2, None, "b")]
     assert run([(4, 1, "c"), (5, 2, "b"), (6, 2, "d"), (7, 2, "d"), (8, 1, None)]) == sorted([*first, (2, 6, "b", "d"), (1, 8, "c", "")])
+
+
+@pytest.mark.parametrize("frontier", [40, 1000])
+def test_matching_takes_many_pairs_in_a_round(spark, frontier, monkeypatch):
+    """Rows that all want the same incumbent are matched in a few rounds, not one a pair."""
+    rounds, match, cut = [], matching.greedy_matching, matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: (rounds.append(df.columns), cut(df))[1])
+    c = [("a", n, 1000.0 + n % 90, 10, n % 7) for n in range(150)]
+    i = [("a", n, float(n % 80), 5 + n % 9) for n in range(200)]
+    got = [(r["candidate"], r["incumbent"], r["gain"]) for r in match(spark.createDataFrame(c, "g string, id long, value double, tokens long, rank int"), spark.createDataFrame(i, "g string, id long, value double, tokens long"), frontier=frontier).collect()]
+    pairs = sorted((-(v - w - max(0, t - u) * 0.04), t - u, k, a, b) for _, a, v, t, k in c for _, b, w, u in i)
+    want, left, right = [], set(), set()
+    for less, _, _, a, b in pairs:
+        if a not in left and b not in right:
+            left.add(a), right.add(b), want.append((a, b, -less))
+    assert sorted(got) == sorted(want) and len(want) == 150 and sum("more" in x for x in rounds) <= 15
+    one = spark.range(40).selectExpr("'a' AS g", "id", "cast(id * 53 % 400 AS double) AS value", "id % 9 + 1 AS tokens", "id % 5 AS rank")
+    assert matching.greedy_matching(one.where("id % 2 = 0"), one.where("id % 2 = 1")).count() > 5
