@@ -10,20 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpuscle import shared
-from corpuscle.shared import cut, join_facts
+from corpuscle.shared import bound_batches, cut, join_facts
 
 __all__ = ["bound_batches", "bounded_sample", "cut", "fold", "join_facts", "keyed", "map_batches", "table", "words_of"]
 
 #: Classes of a bounded sample, the largest ones.
 MOST_CLASSES = 1024
-#: Rows and bytes that go to a Python worker in one Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes, so that very long texts do not add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

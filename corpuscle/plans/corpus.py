@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import classify, secrets, text
 from corpuscle.operators import relational as rel
 from corpuscle.plans.registry import PATH, REASON, TASK, query, read
+from corpuscle.shared import bound_batches
 
 TOKENS_SQL = "greatest(1, length(text) // 4)"
 WORDS_SQL = r"list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-zA-Z0-9]+'), lambda t: t <> '')"
@@ -367,12 +368,14 @@ def literal_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("STR07", r"SELECT doc_id, regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[REDACTED:aws-access-key]', 'g'), '((?i)(?:api[_-]?key|token|secret|password|passwd|auth[_-]?key)\s*[=:]\s*[\"'']?\s*)[A-Za-z0-9+/\-_]{40,}', '\1[REDACTED:api-key]', 'g') AS text FROM documents")
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns in a fixed order: an earlier one wins where two overlap, and placeholders stay."""
+    bound_batches(spark)
     return read(spark, sf_dir, "documents").select("doc_id", secrets.redacted("text")["text"].alias("text"))
 
 
 @query("STR07")
 def secret_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each secret, in the order of the patterns; no SQL form, tested on a small fixture."""
-    found = files(spark, sf_dir).select("doc_id", "path", F.posexplode(secrets.redacted("text")["warnings"]).alias("pos", "w"))
+    bound_batches(spark)
+    found = files(spark, sf_dir).select("doc_id", "path", F.posexplode(secrets.found("text")).alias("pos", "w"))
     said = F.concat("path", F.lit(": "), "w.label", F.lit(" detected (line "), F.col("w.line").cast("string"), F.lit(")"))
     return found.select("doc_id", "pos", "w.label", "w.line", said.alias("warning"))

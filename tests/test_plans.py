@@ -113,3 +113,11 @@ def test_priors_of_all_events(spark, tmp_path):
     """A path whose only events lie before the last 500 is a prior too."""
     spark.range(4).union(spark.range(1_000_007, 1_000_607).where("id % 8 = 7")).union(spark.range(2_000_000, 2_008_000).where("id % 8 = 7")).selectExpr("id AS doc_id", "'text' AS text", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["events"] for r in plans.QUERIES["observer_priors"](spark, str(tmp_path)).collect()} == {1}
+
+
+@pytest.mark.parametrize("name", ["secret_warnings", "secret_redaction"])
+def test_secrets_are_sought_in_small_batches(spark, name):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    plans.QUERIES[name](spark, BASE)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
