@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators import overlap
 from corpuscle.operators import relational as rel
 from corpuscle.plans.registry import query, read
 
@@ -100,10 +101,9 @@ def event_fold_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("JON17", """WITH t AS (SELECT DISTINCT user_id AS thread, user_id % 7 AS worktree, CAST(json_extract_string(props, '$.k') AS BIGINT) AS file FROM events WHERE event_type = 'click'),
 p AS (SELECT a.thread AS a, b.thread AS b, count(*) AS overlap FROM t a JOIN t b ON a.worktree = b.worktree AND a.file = b.file AND a.thread < b.thread GROUP BY 1, 2) SELECT a, b, overlap FROM p""")
 def thread_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads of a worktree that share a file at least: an equi-join on (worktree, file) of distinct rows."""
-    own = read(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("thread"), (F.col("user_id") % 7).alias("worktree"), F.get_json_object("props", "$.k").cast("bigint").alias("file")).distinct()
-    a, b = own.withColumnRenamed("thread", "a"), own.withColumnRenamed("thread", "b")
-    return a.join(b, ["worktree", "file"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    """Threads of a worktree that share a file at least, and how many they share."""
+    own = read(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("thread"), (F.col("user_id") % 7).alias("worktree"), F.get_json_object("props", "$.k").cast("bigint").alias("file"))
+    return overlap.shared_items(own, "worktree", "thread", "file").select("a", "b", "overlap")
 
 
 @query("STM01", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
