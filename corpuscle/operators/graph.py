@@ -12,6 +12,8 @@ from corpuscle.shared import cut
 
 #: Levels that are kept apart before the visited nodes are written as one table again.
 COMPACT = 16
+#: A frontier of at most this many nodes is joined by broadcast.
+NEAR = 200_000
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> DataFrame:
@@ -65,25 +67,31 @@ def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
-    """(node, hop, parent): breadth-first levels from seeds(node), a frontier at a time, to the last one or to max_hops.
+def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, directed: bool = False, ends: Sequence[str] = ()) -> DataFrame:
+    """(node, hop, parent): breadth-first levels from seeds(node), a frontier at a time, to the last one, to max_hops or to the first with one of ends.
 
-    The edges are written once, dealt by source. Each round joins the frontier with
-    them and drops what was visited; only the new level is written. The parent is the
-    smallest one of the level before.
+    The edges are written once, each in one direction. A frontier of at most NEAR nodes
+    goes to the edges, which stay where they are; only a larger one is joined by
+    shuffle. Each round drops what was visited and writes the new level. The parent is
+    the smallest one of the level before.
     """
-    both = edges.select("src", "dst") if directed else edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = cut(both.distinct().repartition("src"))
+    once = cut(edges.select("src", "dst"))
+    both = once if directed else once.unionByName(once.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     levels = [cut(seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent")))]
     frontier, hop = levels[0], 0
-    while max_hops is None or hop < max_hops:
+    size = frontier.count()
+    while size and (max_hops is None or hop < max_hops):
         hop += 1
-        step = both.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        own = frontier.select(F.col("node").alias("src"))
+        step = both.join(F.broadcast(own) if size <= NEAR else own, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         visited = reduce(DataFrame.unionByName, levels)
         frontier = cut(step.join(visited.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"), "parent"))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
         levels.append(frontier)
+        if ends and not frontier.where(F.col("node").isin(list(ends))).isEmpty():
+            break
         if len(levels) > COMPACT:
             levels = [cut(reduce(DataFrame.unionByName, levels))]
     return reduce(DataFrame.unionByName, levels)
@@ -92,13 +100,13 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, directe
 def shortest_path(edges: DataFrame, source: str | Sequence[str], target: str | Sequence[str], max_hops: int = 6) -> DataFrame:
     """(hop, node) rows of one undirected shortest path from any source to the nearest target, the smallest of equals.
 
-    None if a source is a target or no path is short enough.
+    None if a source is a target or no path is short enough. The walk ends at the first level with a target.
     """
     spark = edges.sparkSession
     starts, ends = ([x] if isinstance(x, str) else list(x) for x in (source, target))
     path: list[tuple[int, str]] = []
     if not set(starts) & set(ends):
-        levels = bfs(edges, spark.createDataFrame([(s,) for s in starts], "node string"), max_hops)
+        levels = bfs(edges, spark.createDataFrame([(s,) for s in starts], "node string"), max_hops, ends=ends)
         at = levels.where(F.col("node").isin(ends)).orderBy("hop", "node").first()
         while at is not None:  # at most max_hops point look-ups
             path.append((at["hop"], at["node"]))
