@@ -34,14 +34,17 @@ def build_graph(entities: DataFrame, references: DataFrame, repo: str) -> tuple[
     index = own.groupBy(F.col("name").alias("target")).agg(F.count("*").alias("same"), F.min("key").alias("only"))
     asked = references.groupBy("target").agg(F.count("*").alias("uses"))
     state = F.when(F.col("same").isNull(), "unresolved").when(F.col("same") > 1, "ambiguous").otherwise("resolved")
-    facts = cut(asked.join(index, "target", "left").withColumn("resolution", state).select("target", "uses", "resolution", F.when(F.col("same") == 1, F.col("only")).otherwise(key_of(F.lit(repo), state, F.col("target"), F.lit(""))).alias("dst")))
+    facts = cut(asked.join(index, "target", "left").withColumn("resolution", state).select("target", "uses", "resolution", F.when(F.col("same") == 1, F.col("only")).otherwise(F.concat_ws("|", F.lit(repo), state, F.coalesce("target", F.lit("")), F.lit(""))).alias("_dst")))
     total = facts.agg(F.sum("uses")).first()[0] or 0
     hit = join_facts(references.where("target is not null"), facts, ["target"], "uses", total)
-    src = key_of(F.lit(repo), F.col("kind"), F.col("name"), F.col("path"))
-    edges = hit.select(src.alias("src"), "dst", "type", "resolution", "anchor", "place")
-    edges = edges.withColumn("edge_key", key_of(F.col("src"), F.col("type"), F.col("dst"), F.col("anchor")))
-    edges = edges.groupBy("edge_key").agg(F.max_by(F.struct("src", "dst", "type", "resolution", "place"), "place").alias("e")).select("edge_key", "e.*")
-    open_ = facts.where("resolution <> 'resolved' and target is not null").select(F.col("dst").alias("key"), F.col("resolution").alias("kind"), F.col("target").alias("name"), F.lit("").alias("path"))
+    # grouped by what the hashes are made of, so that no hash of a source or an edge is shuffled
+    text = lambda *parts: F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    made = hit.select(text(F.lit(repo), F.col("kind"), F.col("name"), F.col("path")).alias("_src"), text(F.col("type")).alias("_type"), "_dst", text(F.col("anchor")).alias("_anchor"), "type", "resolution", "place")
+    last = made.groupBy("_src", "_type", "_dst", "_anchor").agg(F.max_by(F.struct("type", "resolution", "place"), F.struct("place")).alias("e"))
+    dst = F.when(F.col("e.resolution") == "resolved", F.col("_dst")).otherwise(F.sha2("_dst", 256))
+    edges = last.select(F.sha2("_src", 256).alias("src"), dst.alias("dst"), "_type", "_anchor", "e.*")
+    edges = edges.select(key_of(F.col("src"), F.col("_type"), F.col("dst"), F.col("_anchor")).alias("edge_key"), "src", "dst", "type", "resolution", "place")
+    open_ = facts.where("resolution <> 'resolved' and target is not null").select(F.sha2("_dst", 256).alias("key"), F.col("resolution").alias("kind"), F.col("target").alias("name"), F.lit("").alias("path"))
     return own.select("key", "kind", "name", "path").unionByName(open_), edges
 
 

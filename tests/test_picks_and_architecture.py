@@ -1,5 +1,6 @@
 """Picks and property-graph upkeep against plain loops, and their edge cases."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -98,6 +99,17 @@ def test_targets_stay_when_unresolved_or_ambiguous(spark):
     assert edges.join(nodes, edges["dst"] == nodes["key"], "left_anti").count() == 0
 
 
+def test_edges_are_grouped_by_texts_and_not_by_hashes(spark):
+    kinds = "kind string, name string, path string"
+    refs = [("m", "a|b", "c", "a", None, "1", 1), ("m", "a", "b|c", "a", "", "1", 2), ("m", "a", "b|c", "a", "x", "1", None)]
+    _, edges = arch.build_graph(spark.createDataFrame([("m", "a", "b|c")], kinds), spark.createDataFrame(refs, kinds + ", target string, type string, anchor string, place int"), "r")
+    assert "hashpartitioning(edge_key#" not in edges._jdf.queryExecution().executedPlan().toString()
+    rows = {r["place"]: r for r in edges.collect()}
+    assert set(rows) == {2, None} and rows[2]["type"] == "" and rows[None]["type"] == "x"  # the texts of the first two sources are equal
+    assert {(r["src"], r["dst"], r["resolution"]) for r in rows.values()} == {(hashlib.sha256(b"r|m|a|b|c").hexdigest(),) * 2 + ("resolved",)}
+    assert rows[2]["edge_key"] == hashlib.sha256("||".join([rows[2]["src"], rows[2]["dst"] + "|1"]).encode()).hexdigest()
+
+
 def test_quality_over_nothing_is_null(spark):
     kind = "src string, type string, dst string, path string, start int, end int"
     made = spark.createDataFrame([("a", "calls", "b", "x", 3, None), ("a", "calls", "c", "x", 9, 12), ("a", "tests", "c", "x", 1, 1)], kind)
