@@ -72,6 +72,17 @@ def bigrams(terms: Column, generic: list[str] = ()) -> Column:
     return F.array_distinct(F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"])))
 
 
+def text_bigrams(text: Column) -> Column:
+    """bigrams(ordered_tokens(text)) by one search along the text, without an expression for each token.
+
+    A match is a token that another follows; it starts only where a token does, so a
+    very long last token is tried once.
+    """
+    spaced = F.lower(F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " "))
+    words = F.trim(F.regexp_replace(spaced, "[^a-z0-9]+", " "))
+    return F.array_distinct(F.regexp_extract_all(words, F.lit("(?<![^ ])(?=([^ ]++ [^ ]++))[^ ]++"), F.lit(1)))
+
+
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the characters, at least one."""
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)).cast("bigint")

@@ -96,8 +96,7 @@ def term_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("STR03", f"WITH t AS (SELECT doc_id, {WORDS_SQL} AS t FROM documents), b AS (SELECT unnest(list_distinct(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]))) AS bigram FROM t) SELECT bigram, count(*) AS df FROM b GROUP BY bigram")
 def bigram_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files(spark, sf_dir).select(text.ordered_tokens(F.col("text")).alias("t"))
-    return found.select(F.explode(text.bigrams(F.col("t"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("df"))
+    return files(spark, sf_dir).select(F.explode_outer(text.text_bigrams(F.col("text"))).alias("bigram")).where("bigram is not null").groupBy("bigram").agg(F.count("*").alias("df"))
 
 
 def rarity_by_workspace(docs: DataFrame, items: Column, name: str) -> DataFrame:
@@ -135,7 +134,7 @@ SELECT x.source, bigram, df, round(CASE WHEN n <= 1 THEN 1 ELSE greatest(0, leas
 
 @query("AGG03 STR03 MTH02", BIGRAM_RARITY_SQL)
 def workspace_bigram_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rarity_by_workspace(files(spark, sf_dir).select("source", "text"), text.bigrams(text.ordered_tokens(F.col("text"))), "bigram")
+    return rarity_by_workspace(files(spark, sf_dir).select("source", "text"), text.text_bigrams(F.col("text")), "bigram")
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"

@@ -99,6 +99,19 @@ def test_bigrams_of_a_long_text(spark, tmp_path):
     assert time.monotonic() - began < 60
 
 
+def test_bigrams_by_one_search(spark):
+    """The same as of tokens, in order; a text that is one very long token is searched in linear time."""
+    from pyspark.sql import functions as F
+
+    from corpuscle.functions import text
+
+    texts = [None, "", "one", "oneTwo three", " a  b-a b_a B ", "ÄbC déF x\nY", "9A 9A z", "x" * 1_000_000, "a " + "x" * 1_000_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.text_bigrams(F.col("t")).alias("a"), text.bigrams(text.ordered_tokens(F.col("t"))).alias("b"))
+    began = time.monotonic()
+    assert all(r["a"] == r["b"] for r in rows.collect())
+    assert time.monotonic() - began < 30
+
+
 def test_whole_history_counts(spark, con):
     """No window of recent commits or events: as many paths as all changes of the tables have."""
     churn = con.sql("SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY n DESC").fetchall()
