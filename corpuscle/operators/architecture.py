@@ -80,16 +80,18 @@ def resolve_names(entities: DataFrame, key: str, columns: list[str], kind: str,
 def relation_quality(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row (precision, recall, grounding) of edges (src, dst, type, path, start, end) against those wanted.
 
-    Only types that are wanted count. Precision and recall are over distinct tuples,
+    Only types that are wanted count; which they are is told by sums of each type, as a
+    join by type would gather all edges under a few keys. Precision and recall are over distinct tuples,
     grounding is the wanted rows that a found edge of the same path overlaps, over the
     tuples found rightly. A wanted row without path or start takes any; an end that
     is missing is the start. A ratio over nothing is null.
     """
     tuple_ = ["src", "type", "dst"]
-    live = found.join(wanted.select("type").distinct(), "type", "left_semi")
-    flags = live.select(*tuple_, F.lit(1).alias("f"), F.lit(0).alias("w")).unionByName(wanted.select(*tuple_, F.lit(0).alias("f"), F.lit(1).alias("w")))
-    per = flags.groupBy(*tuple_).agg(F.max("f").alias("f"), F.max("w").alias("w")).agg(F.sum("f").alias("found"), F.sum("w").alias("wanted"), F.sum(F.col("f") * F.col("w")).alias("right"))
-    g = live.select(*(F.col(c).alias(f"_{c}") for c in tuple_), F.col("path").alias("_path"), F.col("start").alias("_start"), F.coalesce("end", "start").alias("_end"))
+    flags = found.select(*tuple_, F.when(F.col("type").isNotNull(), 1).otherwise(0).alias("f"), F.lit(0).alias("w")).unionByName(wanted.select(*tuple_, F.lit(0).alias("f"), F.lit(1).alias("w")))
+    sums = [F.sum("f").alias("found"), F.sum("w").alias("wanted"), F.sum(F.col("f") * F.col("w")).alias("right")]
+    by_type = flags.groupBy(*tuple_).agg(F.max("f").alias("f"), F.max("w").alias("w")).groupBy("type").agg(*sums)
+    per = by_type.where("wanted > 0").agg(*(F.sum(c).alias(c) for c in ("found", "wanted", "right")))
+    g = found.select(*(F.col(c).alias(f"_{c}") for c in tuple_), F.col("path").alias("_path"), F.col("start").alias("_start"), F.coalesce("end", "start").alias("_end"))
     same = (F.col("src") == F.col("_src")) & (F.col("type") == F.col("_type")) & (F.col("dst") == F.col("_dst"))
     meets = F.col("start").isNull() | ((F.col("_end") >= F.col("start")) & (F.col("_start") <= F.coalesce("end", "start")))
     there = F.col("path").isNull() | (F.col("path") == "") | (F.col("path") == F.col("_path"))
