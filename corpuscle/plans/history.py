@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from corpuscle.operators import overlap
 from corpuscle.operators import relational as rel
 from corpuscle.plans.registry import query, read
+from corpuscle.shared import parts_for
 
 CHANGES_SQL = "changes AS (SELECT o_orderkey AS commit_id, o_orderdate AS ts, l_partkey AS path FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 RECENT_SQL = "recent AS (SELECT o_orderkey AS commit_id, o_orderdate AS ts FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200)"
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(commit_id, ts, path): a commit is an order, a changed path one of its parts."""
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts"))
-    return orders.join(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path")), "commit_id")
+    """(commit_id, ts, path): a commit is an order, a changed path one of its parts.
+
+    Both meet by commit in as many partitions as the table's size asks for, so that what
+    a task sorts and counts stays the same however large the history is.
+    """
+    lines = read(spark, sf_dir, "lineitem")
+    parts = parts_for(spark, lines)
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts")).repartition(parts, "commit_id")
+    return orders.join(lines.select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path")).repartition(parts, "commit_id"), "commit_id")
 
 
 def recent_commits(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT = 10_000
 #: A table up to this size whose files make too few tasks is dealt out to all cores.
 SPREAD_BYTES = 256 << 20
+#: Bytes of a table of texts whose words or phrases meet in one partition.
+PART_BYTES = 4 << 20
 #: Rows and bytes that go to a Python worker in one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -47,6 +49,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
+def parts_for(spark: SparkSession, df: DataFrame) -> int:
+    """As many partitions as keep what one task aggregates from a table's texts the same, however large the table is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
