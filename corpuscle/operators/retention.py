@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 WORKTREE = "WORKTREE"
 #: Blocks of a registry, and refs that a budget never touches.
 MOST_BLOCKS, LEAST_REFS = 200, 2
+#: Caches whose single rows are sent to every task; beyond it they are joined by shuffle.
+BROADCAST_CACHES = 200_000
 
 
 def block_registry(selected: DataFrame, symbols: DataFrame, omitted: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
@@ -36,11 +38,13 @@ def retention_plan(states: DataFrame, uses: DataFrame, records: DataFrame, keep_
 
     Beyond max_bytes (0: no limit) the oldest refs go, down to two. A record belongs
     to the newest state that needs it, so what a cut of refs frees is a running sum
-    over at most keep_refs + 1 ranks; no state is looked at twice.
+    over at most keep_refs + 1 ranks; no state is looked at twice. Up to BROADCAST_CACHES
+    caches, nothing is shuffled by cache alone, as a few may hold all rows.
     """
+    each = F.broadcast if states.select("g").distinct().count() <= BROADCAST_CACHES else (lambda df: df)
     live = states.where("current")
     turn = Window.partitionBy("g", "tree").orderBy(F.desc("changed"), F.desc("state"))
-    ranked = live.withColumn("tree", F.col("ref") == WORKTREE).withColumn("n", F.row_number().over(turn))
+    ranked = live.withColumn("tree", F.col("ref") == WORKTREE).withColumn("n", F.row_number().over(turn)).where(F.col("n") <= max(1, keep_refs))  # limited before the shuffle
     kept = ranked.where(F.when(F.col("tree"), F.col("n") == 1).otherwise(F.col("n") <= keep_refs)).select("g", "state", F.when(F.col("tree"), 0).otherwise(F.col("n")).alias("rank"), "bytes")
     owner = uses.select("g", "state", "record").distinct().join(kept.select("g", "state", "rank"), ["g", "state"]).groupBy("g", "record").agg(F.min("rank").alias("rank"))
     held = records.join(owner, ["g", "record"], "left")
@@ -50,12 +54,12 @@ def retention_plan(states: DataFrame, uses: DataFrame, records: DataFrame, keep_
     cut_at = upto.groupBy("g").agg(fits.alias("last"))
     blind = states.where("current is null").select("g").distinct().withColumn("blind", F.lit(True))
     places = kept.select("g", "state", "rank")
-    of_states = states.join(places, ["g", "state"], "left").join(cut_at, "g", "left").join(blind, "g", "left")
+    of_states = states.join(places, ["g", "state"], "left").join(each(cut_at), "g", "left").join(each(blind), "g", "left")
     said = (
         F.when(F.col("current").isNull(), "unreadable").when(~F.col("current"), "stale").when(F.col("blind"), "unreadable neighbours").when(F.col("rank").isNull(), "old").when(F.col("rank") > F.col("last"), "budget").otherwise("retained")
     )
     a = of_states.select("g", F.lit("state").alias("kind"), F.col("state").cast("string").alias("key"), "bytes", said.alias("reason"))
-    of_records = held.join(cut_at, "g", "left").join(blind, "g", "left")
+    of_records = held.join(each(cut_at), "g", "left").join(each(blind), "g", "left")
     why = F.when(F.col("blind"), "unreadable neighbours").when(F.col("rank").isNull(), "unreachable").when(F.col("rank") > F.col("last"), "budget").otherwise("reachable")
     b = of_records.select("g", F.lit("record").alias("kind"), F.col("record").cast("string").alias("key"), "bytes", why.alias("reason"))
     action = F.when(F.col("reason").isin("stale", "old", "unreachable", "budget"), "drop").otherwise("keep")

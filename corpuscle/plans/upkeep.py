@@ -13,7 +13,7 @@ from corpuscle.plans.architecture import NAMES_SQL, _graph
 from corpuscle.plans.boosts import PLACE
 from corpuscle.plans.corpus import TOKENS_SQL
 from corpuscle.plans.registry import query, read
-from corpuscle.shared import shared_folder
+from corpuscle.shared import parts_for, shared_folder
 from corpuscle.sources import scan, store
 
 # ignore rules of the delta scan, and what each takes, as SQL: the last that holds decides
@@ -68,8 +68,9 @@ def retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines, part = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     current = F.expr("case when o_custkey % 25 = 7 and o_orderkey % 50 = 1 then null else o_orderkey % 10 <> 5 end")
     states = orders.select((F.col("o_custkey") % 25).alias("g"), F.col("o_orderkey").alias("state"), F.when(F.col("o_orderkey") % 4 == 0, retention.WORKTREE).otherwise("ref").alias("ref"), F.col("o_orderdate").alias("changed"), F.lit(100).cast("bigint").alias("bytes"), current.alias("current"))
-    uses = lines.select(F.col("l_orderkey").alias("state"), F.col("l_partkey").alias("record")).join(states.select("g", "state"), "state").distinct()
-    records = uses.select("g", "record").distinct().join(part.select(F.col("p_partkey").alias("record"), (F.col("p_size") * 10).cast("bigint").alias("bytes")), "record")
+    parts = parts_for(spark, lines)  # what a task sorts and counts stays the same however many lines there are
+    uses = lines.select(F.col("l_orderkey").alias("state"), F.col("l_partkey").alias("record")).repartition(parts, "state").join(states.select("g", "state").repartition(parts, "state"), "state").distinct()
+    records = uses.select("g", "record").repartition(parts, "record").distinct().join(part.select(F.col("p_partkey").alias("record"), (F.col("p_size") * 10).cast("bigint").alias("bytes")), "record")
     return retention.retention_plan(states, uses, records, KEEP_REFS, MOST_BYTES).groupBy("g", "reason").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 

@@ -1,6 +1,7 @@
 """Every registered plan against its DuckDB equivalent on the smallest tables."""
 
 import math
+import re
 import time
 from decimal import Decimal
 
@@ -112,6 +113,27 @@ def test_bigrams_by_one_search(spark):
     assert time.monotonic() - began < 30
 
 
+def test_edges_do_not_meet_under_a_few_keys(spark):
+    """What is shuffled by type or by cache alone are sums, never rows: a handful of keys would hold whole tables."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, key in (("relationship_quality", "type"), ("retention_sweep", "g")):
+            lines = [x for x in plans.QUERIES[name](spark, BASE)._jdf.queryExecution().executedPlan().toString().splitlines() if " Project " not in x and "- Project" not in x]
+            below = [lines[i + 1] for i, x in enumerate(lines) if re.search(rf"Exchange hashpartitioning\({key}#\d+L?, \d+\)", x)]
+            assert below and all("HashAggregate" in x for x in below), (name, below)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_history_meets_in_parts_that_follow_its_size(spark, monkeypatch):
+    monkeypatch.setattr("corpuscle.shared.PART_BYTES", 4096)
+    for name in ("history_cases", "retention_sweep"):
+        plan = plans.QUERIES[name](spark, BASE)._jdf.queryExecution().executedPlan().toString()
+        parts = {int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)}
+        assert parts and min(parts) > 4, name
+
+
 def test_whole_history_counts(spark, con):
     """No window of recent commits or events: as many paths as all changes of the tables have."""
     churn = con.sql("SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY n DESC").fetchall()
