@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import classify, secrets, text
 from corpuscle.operators import relational as rel
 from corpuscle.plans.registry import PATH, REASON, TASK, query, read
-from corpuscle.shared import bound_batches
+from corpuscle.shared import bound_batches, parts_for, table
 
 TOKENS_SQL = "greatest(1, length(text) // 4)"
 WORDS_SQL = r"list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-zA-Z0-9]+'), lambda t: t <> '')"
@@ -96,7 +96,9 @@ def term_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("STR03", f"WITH t AS (SELECT doc_id, {WORDS_SQL} AS t FROM documents), b AS (SELECT unnest(list_distinct(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]))) AS bigram FROM t) SELECT bigram, count(*) AS df FROM b GROUP BY bigram")
 def bigram_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select(F.explode_outer(text.text_bigrams(F.col("text"))).alias("bigram")).where("bigram is not null").groupBy("bigram").agg(F.count("*").alias("df"))
+    """Phrases meet uncombined: a map of all phrases of a task's texts would grow with its share of the table."""
+    found = files(spark, sf_dir).select(F.explode_outer(text.text_bigrams(F.col("text"))).alias("bigram")).where("bigram is not null")
+    return found.repartition(parts_for(spark, table(spark, sf_dir, "documents")), "bigram").groupBy("bigram").agg(F.count("*").alias("df"))
 
 
 def rarity_by_workspace(docs: DataFrame, items: Column, name: str) -> DataFrame:

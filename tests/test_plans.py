@@ -113,6 +113,12 @@ def test_bigrams_by_one_search(spark):
     assert time.monotonic() - began < 30
 
 
+def test_phrases_are_not_combined_in_the_map(spark):
+    """No aggregate of all of a task's phrases before they are shuffled."""
+    plan = plans.QUERIES["bigram_frequency"](spark, BASE)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning(bigram") :]
+
+
 def test_edges_do_not_meet_under_a_few_keys(spark):
     """What is shuffled by type or by cache alone are sums, never rows: a handful of keys would hold whole tables."""
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
