@@ -162,7 +162,7 @@ def stale_files(before: DataFrame, now: DataFrame) -> DataFrame:
     every = before.select("path", "symbols", "imports", "targets").unionByName(now.select("path", "symbols", "imports", "targets"))
     names = every.join(moved.select("path"), "path", "left_semi").select(F.explode("symbols").alias("name")).unionByName(moved.select(F.col("path").alias("name"))).distinct()
     reach = lambda column: F.flatten(F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: file_candidates(x, F.col("path"))))
-    edges = cut(every.select(F.col("path").alias("by"), F.explode(F.array_distinct(reach(F.col("imports")))).alias("path")).where("by <> path").distinct())
+    edges = cut(every.select(F.col("path").alias("by"), F.explode(F.array_distinct(reach(F.col("imports")))).alias("path")).where("by <> path").distinct().join(every.select("path").distinct(), "path", "left_semi"))  # most candidates are no files
     wanted = F.concat(F.coalesce("imports", F.array().cast("array<string>")), F.coalesce("targets", F.array().cast("array<string>")))
     called = every.select(F.col("path").alias("by"), F.explode(F.array_distinct(F.concat(wanted, F.transform(wanted, lambda x: F.substring_index(x, "/", -1))))).alias("name"))
     aimed = every.select(F.col("path").alias("by"), F.explode(F.array_distinct(reach(wanted))).alias("path"))

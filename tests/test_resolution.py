@@ -139,3 +139,13 @@ def test_maintain_calls_the_builder_with_dependents_alone(spark):
     got, how = architecture.maintain(view, keys("a"), keys("b"), lambda changed: changed.selectExpr("'f7' as key"), build)
     assert how == "incremental" and asked == [["f0", "f7"]] and sorted((r[0], r[1]) for r in got.collect()) == [(f"f{i}", 2 if i in (0, 7) else 1) for i in range(10)]
     assert architecture.maintain(view, keys("a"), keys("b"), lambda changed: view.select("key"), build)[1] == "cold" and asked[1] is None
+
+
+def test_edges_to_what_is_no_file_are_not_walked(spark, monkeypatch):
+    """Of the many paths that an import may stand for, only known files stay in the edges that each round reads."""
+    kept, cut = [], resolution.cut
+    monkeypatch.setattr(resolution, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    cols = "path string, hash long, symbols array<string>, imports array<string>, targets array<string>"
+    files = lambda h: spark.createDataFrame([("a.py", 1, [], ["b"], []), ("b.py", h, [], ["gone"], []), ("c.py", 1, [], ["a"], [])], cols)
+    assert {tuple(r) for r in resolution.stale_files(files(1), files(2)).collect()} == {("b.py", "changed"), ("a.py", "dependent"), ("c.py", "dependent")}
+    assert [{tuple(r) for r in df.select("by", "path").collect()} for df in kept if set(df.columns) == {"by", "path"}] == [{("a.py", "b.py"), ("c.py", "a.py")}]
