@@ -239,7 +239,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = 1)
     probe = F.broadcast(probe) if c.select("dims").distinct().count() <= BROADCAST_LENGTHS else probe
     q = cut(map_batches(q.join(probe, "dims").select("dims", "q_ids", "q", "probe"), first, "dims int, q_ids binary, q binary, floor binary"))
     tiles = max(1, -(-q.count() // TILE))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))  # noqa: E731  keys of either side are of one type: a cogroup casts none, and int and bigint hash apart
     q = q.withColumn("tile", F.pmod(F.xxhash64("q_ids"), F.lit(tiles))).withColumn("run", every(runs))
     c = c.withColumn("tile", every(tiles)).withColumnRenamed("dims", "c_dims")
 

@@ -254,6 +254,26 @@ def test_top_k_ranks_scores_beyond_64_bits(spark, monkeypatch, size):
     assert got == want and max(s for _, s in want.values()) == 2**63 - 1
 
 
+def test_top_k_meets_every_run_in_whatever_partition(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    monkeypatch.setattr(topk, "RUN", 1)
+    monkeypatch.setattr(topk, "TILE", 1)
+    rng = np.random.default_rng(41)
+    rows = [(i, [int(x) for x in rng.integers(-9, 9, 6)]) for i in range(200)]
+    df = topk.numbered(spark.createDataFrame(rows, "id long, vector array<long>"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in topk.top_k(df.where("id % 10 = 0"), df, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for q, x in rows[::10]:
+        best = sorted((-int(np.dot(x, y)), i) for i, y in rows if i != q)[:5]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert got == want
+
+
 def test_top_k_prunes_nothing_that_counts():
     rng = np.random.default_rng(8)
     q, c = rng.integers(-60, 60, (48, 5)), rng.integers(-60, 60, (48, 400))
