@@ -98,22 +98,28 @@ def resolve(relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases:
     last part and as the end of a longer name. The first of these stages with a hit
     decides: one entity is the target, several are ambiguous.
 
-    Relations are asked once for each (path, scope, name, kind), and all stages are one
-    join of lookups with one index, whose facts are one row for each key; keys that a
-    large share of the lookups have are never hot. Null names and paths stay unresolved.
+    Relations are numbered and written once. What does not depend on their file is looked
+    up once for each distinct name, what does for each relation; all lookups are one join
+    with one index, whose facts are one row for each key, and a lookup is a number, a
+    stage and a key. Keys and names that a large share of the rows have are never hot.
+    Null names and paths stay unresolved.
     """
-    asked = relations.select("path", F.coalesce("scope", F.lit("")).alias("scope"), F.coalesce(F.col("relation").isin(FILE_RELATIONS), F.lit(False)).alias("is_file"), F.col("name").alias("target_name")).where("path is not null and target_name is not null")
-    asks = asked.groupBy("path", "scope", "is_file", "target_name").agg(F.count("*").alias("uses"))
-    asks = cut(asks.withColumn("raw", plain_name(F.col("target_name"))))
-    outer = F.when(F.contains("scope", F.lit(".")) & ~F.contains("raw", F.lit(".")), F.regexp_extract("scope", r"^(.*)\.[^.]*$", 1))
-    there = rewritten(asks.withColumn("name", F.col("raw")), aliases)
+    kind = F.coalesce(F.col("relation").isin(FILE_RELATIONS), F.lit(False))
+    asks = cut(relations.withColumns({"_file": kind, "_raw": plain_name(F.col("name")), "_row": F.monotonically_increasing_id()}))
+    there = asks.where("path is not null and name is not null")
+    folder = F.when(F.col("_file") & F.col("name").startswith("."), F.col("path")).otherwise(F.lit("")).alias("_from")
+    called = cut(rewritten(there.select("_row", "_file", "path", F.col("_raw").alias("name")), aliases).select("_row", "_file", "name", folder))
+    names = cut(called.groupBy("_file", "name", "_from").agg(F.count("*").alias("weight")).withColumn("_name", F.monotonically_increasing_id()))
+    outer = F.when(F.contains("scope", F.lit(".")) & ~F.contains("_raw", F.lit(".")), F.regexp_extract("scope", r"^(.*)\.[^.]*$", 1))
     look = lambda stage, key: F.struct(F.lit(stage).alias("stage"), key.alias("key"))
     own = lambda name: F.concat(F.col("path"), F.lit(_SEP), name)
-    near = F.array(look(SCOPED, own(F.concat(outer, F.lit("."), F.col("raw")))), look(LOCAL, own(F.col("raw"))))
-    as_file = F.transform(file_candidates(F.col("name"), F.col("path")), lambda k: F.struct(F.lit(FILE).alias("stage"), k.alias("key")))
-    as_name = F.array(look(OBJECT, F.col("name")), look(OBJECT_TAIL, _tail(F.col("name"))), look(SYMBOL, F.col("name")), look(SYMBOL_TAIL, _tail(F.col("name"))), look(SUFFIX, F.col("name")))
-    ask = ["path", "scope", "is_file", "target_name"]
-    lookups = there.select(*ask, F.explode(F.concat(near, F.when(F.col("is_file"), as_file).otherwise(as_name))).alias("l")).select(*ask, "l.*").where("key is not null")
+    near = F.array(look(SCOPED, own(F.concat(outer, F.lit("."), F.col("_raw")))), look(LOCAL, own(F.col("_raw"))))
+    as_file = F.transform(file_candidates(F.col("name"), F.col("_from")), lambda k: F.struct(F.lit(FILE).alias("stage"), k.alias("key")))
+    as_object = [] if objects is None else [look(OBJECT, F.col("name")), look(OBJECT_TAIL, _tail(F.col("name")))]
+    as_name = F.array(*as_object, look(SYMBOL, F.col("name")), look(SYMBOL_TAIL, _tail(F.col("name"))), look(SUFFIX, F.col("name")))
+    of_rows = there.select(F.lit(True).alias("one"), F.col("_row").alias("id"), F.explode(near).alias("l"))
+    of_names = names.select(F.lit(False).alias("one"), F.col("_name").alias("id"), F.explode(F.when(F.col("_file"), as_file).otherwise(as_name)).alias("l"))
+    lookups = of_rows.unionByName(of_names).select("one", "id", "l.*").where("key is not null")
 
     named = symbols.select("entity", "path", "display", "qualified", F.array_distinct(F.array_compact(F.array(F.col("display"), F.col("qualified"), F.regexp_replace("qualified", "^[^:]*:", "")))).alias("names"))
     entry = lambda df, stage, key: df.select(F.lit(stage).alias("stage"), key.alias("key"), "entity")
@@ -134,17 +140,15 @@ def resolve(relations: DataFrame, symbols: DataFrame, files: DataFrame, aliases:
     known = cut(weights.join(facts, ["stage", "key"]))
     total = known.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     hits = join_facts(lookups, known, ["stage", "key"], "weight", total)
-    per = hits.groupBy(*ask, "stage").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    first = per.groupBy(*ask).agg(F.min_by(F.struct("stage", "low", "high"), "stage").alias("h"))
-    one = F.col("h.low") == F.col("h.high")
-    state = F.when(F.col("h").isNull(), "unresolved").when(~one, "ambiguous").when(F.col("h.stage") <= LOCAL, "resolved_same_file").otherwise("resolved")
-    answers = asks.select(*ask, "uses").join(first, ask, "left").select(*ask, "uses", F.col("h.stage").alias("stage"), state.alias("resolution"), F.when(one, F.col("h.low")).alias("target"))
-    answers = cut(answers)
-    uses = answers.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
-    rows = relations.withColumn("_scope", F.coalesce("scope", F.lit(""))).withColumn("_file", F.coalesce(F.col("relation").isin(FILE_RELATIONS), F.lit(False)))
-    lost = rows.where("path is null or name is null").withColumns({"stage": F.lit(None).cast("int"), "resolution": F.lit("unresolved"), "target": F.lit(None).cast(answers.schema["target"].dataType)})
-    answers = answers.withColumnsRenamed({"scope": "_scope", "is_file": "_file", "target_name": "name"})
-    return join_facts(rows.where("path is not null and name is not null"), answers, ["path", "_scope", "_file", "name"], "uses", uses).unionByName(lost).drop("_scope", "_file")
+    # of the least stage, the least entity and the greatest; those that are null come last
+    lowest, highest = F.min(F.struct("stage", F.col("low").isNull().alias("no"), "low")), F.max(F.struct((-F.col("stage")).alias("stage"), "high"))
+    found = cut(hits.groupBy("one", "id").agg(lowest.alias("l"), highest.alias("h")).select("one", "id", F.struct("l.stage", "l.low", "h.high").alias("hit")))
+    answers = names.join(found.where("not one").select(F.col("id").alias("_name"), "hit"), "_name").select("_file", "name", "_from", "weight", "hit")
+    named = join_facts(called, answers, ["_file", "name", "_from"], "weight", called.count()).select("_row", "hit")
+    best = named.unionByName(found.where("one").select(F.col("id").alias("_row"), "hit")).groupBy("_row").agg(F.min_by("hit", "hit.stage").alias("hit"))
+    one = F.col("hit.low") == F.col("hit.high")
+    state = F.when(F.col("hit").isNull(), "unresolved").when(~one, "ambiguous").when(F.col("hit.stage") <= LOCAL, "resolved_same_file").otherwise("resolved")
+    return asks.join(best, "_row", "left").select(*relations.columns, F.col("hit.stage").alias("stage"), state.alias("resolution"), F.when(one, F.col("hit.low")).alias("target"))
 
 
 def stale_files(before: DataFrame, now: DataFrame) -> DataFrame:

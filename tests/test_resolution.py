@@ -86,6 +86,16 @@ def test_hot_names_are_split_and_no_row_is_lost(spark, monkeypatch):
     assert Counter(r["resolution"] for r in found.collect()) == {"resolved": 200, "unresolved": 100}
 
 
+def test_a_name_of_many_files_is_looked_up_once(spark, monkeypatch):
+    seen, real = [], resolution.join_facts
+    monkeypatch.setattr(resolution, "join_facts", lambda rows, *rest: (seen.append(rows), real(rows, *rest))[1])
+    rows = [(f"f{i}.py", None, "calls", f"n{i % 3}") for i in range(60)]
+    none = spark.createDataFrame([], "path string, alias string, original string")
+    found = resolution.resolve(spark.createDataFrame(rows, "path string, scope string, relation string, name string"), spark.createDataFrame([("e", "b.py", "n1", "n1")], "entity string, path string, display string, qualified string"), spark.createDataFrame([], "entity string, path string"), none)
+    assert Counter((r["resolution"], r["target"]) for r in found.collect()) == {("resolved", "e"): 20, ("unresolved", None): 40}
+    assert seen[0].where(seen[0]["stage"] > resolution.LOCAL).count() <= 3 * 5
+
+
 def loop_stale(old, new):
     changed = {p for p in old.keys() & new.keys() if old[p][0] != new[p][0]} | new.keys() - old.keys()
     deleted = old.keys() - new.keys()
