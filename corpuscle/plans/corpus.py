@@ -169,16 +169,19 @@ def task_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only terms that an item asks for are shuffled, by document: a document's terms lie
     together, so scores are summed where they are, no term is a key, and what leaves a
     task are its best rows of each item. Beyond BROADCAST_ASKED the terms themselves meet.
+    Scores are summed in partitions that follow the table's size.
     """
     docs = files(spark, sf_dir)
     wanted = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(text.task_terms(F.col("text")))).alias("term"))
     held = docs.select("doc_id", F.explode(F.array_distinct(text.ordered_tokens(F.col("text")))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     few = wanted.count() <= BROADCAST_ASKED
-    held = held.repartition("doc_id") if few else held
+    parts = parts_for(spark, table(spark, sf_dir, "documents"))
+    held = held.repartition(parts, "doc_id") if few else held
     total = docs.agg(F.count("*").alias("n"))
     weight = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.round((rel.rarity(F.col("n"), F.col("df")) * 0.7 + 0.55) * 1e6).cast("bigint").alias("w"))
     asked = wanted.join(weight, "term")
-    return held.join(F.broadcast(asked) if few else asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.sum("w").alias("score"))
+    met = held.join(F.broadcast(asked), "term") if few else held.join(asked, "term").repartition(parts, "item_id", "doc_id")
+    return met.groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.sum("w").alias("score"))
 
 
 @query("COL01 RNK01 SRT01", MATCH_SQL + "SELECT item_id, doc_id, hits, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10")

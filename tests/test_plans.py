@@ -140,6 +140,18 @@ def test_history_meets_in_parts_that_follow_its_size(spark, monkeypatch):
         assert parts and min(parts) > 4, name
 
 
+def test_scores_are_summed_in_parts_that_follow_the_tables_size(spark, monkeypatch):
+    monkeypatch.setattr("corpuscle.shared.PART_BYTES", 4096)
+    found = []
+    for few in (200_000, 0):
+        monkeypatch.setattr("corpuscle.plans.corpus.BROADCAST_ASKED", few)
+        df = plans.QUERIES["task_match_topk"](spark, BASE)
+        parts = {int(n) for n in re.findall(r"hashpartitioning\((?:item_id#\d+L?, )?doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
+        assert parts and min(parts) > 4, few
+        found.append(sorted(df.select("item_id", "doc_id", "hits", "score", "rank").collect()))
+    assert found[0] == found[1] and found[0]
+
+
 def test_whole_history_counts(spark, con):
     """No window of recent commits or events: as many paths as all changes of the tables have."""
     churn = con.sql("SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY n DESC").fetchall()
