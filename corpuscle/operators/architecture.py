@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.operators.relational import top_per_group
-from corpuscle.shared import cut, join_facts
+from corpuscle.shared import cut, hot_keys
 
 #: Kinds of entities that are files.
 FILE_KINDS = ["module", "config", "test", "document"]
@@ -22,30 +22,48 @@ def key_of(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
-def build_graph(entities: DataFrame, references: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
-    """(key, kind, name, path) and (edge_key, src, dst, type, resolution) of entities(kind, name, path) and references(kind, name, path, target, type, anchor, place).
+def build_graph(entities: DataFrame, references: DataFrame, repo: str, targets: DataFrame | None = None, parts: int | None = None, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """(key, kind, name, path) and (edge_key, src, dst, type, resolution, place) of entities(kind, name, path) and references(kind, name, path, target, type, anchor, place).
 
     A target is the only entity of that name. One that no entity or several have
     becomes an entity of kind unresolved or ambiguous of its own, so no reference is
     lost. Of edges with one key (source, type, target, anchor) the last by place stays.
-    Names that many references share are joined without a hot key.
+    References are shuffled once, by their target, in `parts` partitions, and hashed after
+    that; edges of a target lie together, so that files hold its hash once. After the
+    shuffle, finish makes the columns beside target, so that numbers may be shuffled in
+    place of texts. Targets that many references share have no hot key, their facts go by
+    broadcast; they are counted in targets(target), if given, which then is less to read.
     """
-    own = entities.select("kind", "name", "path").distinct().withColumn("key", key_of(F.lit(repo), F.col("kind"), F.col("name"), F.col("path")))
-    index = own.groupBy(F.col("name").alias("target")).agg(F.count("*").alias("same"), F.min("key").alias("only"))
-    asked = references.groupBy("target").agg(F.count("*").alias("uses"))
-    state = F.when(F.col("same").isNull(), "unresolved").when(F.col("same") > 1, "ambiguous").otherwise("resolved")
-    facts = cut(asked.join(index, "target", "left").withColumn("resolution", state).select("target", "uses", "resolution", F.when(F.col("same") == 1, F.col("only")).otherwise(F.concat_ws("|", F.lit(repo), state, F.coalesce("target", F.lit("")), F.lit(""))).alias("_dst")))
-    total = facts.agg(F.sum("uses")).first()[0] or 0
-    hit = join_facts(references.where("target is not null"), facts, ["target"], "uses", total)
-    # grouped by what the hashes are made of, so that no hash of a source or an edge is shuffled
-    text = lambda *parts: F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
-    made = hit.select(text(F.lit(repo), F.col("kind"), F.col("name"), F.col("path")).alias("_src"), text(F.col("type")).alias("_type"), "_dst", text(F.col("anchor")).alias("_anchor"), "type", "resolution", "place")
-    last = made.groupBy("_src", "_type", "_dst", "_anchor").agg(F.max_by(F.struct("type", "resolution", "place"), F.struct("place")).alias("e"))
-    dst = F.when(F.col("e.resolution") == "resolved", F.col("_dst")).otherwise(F.sha2("_dst", 256))
-    edges = last.select(F.sha2("_src", 256).alias("src"), dst.alias("dst"), "_type", "_anchor", "e.*")
-    edges = edges.select(key_of(F.col("src"), F.col("_type"), F.col("dst"), F.col("_anchor")).alias("edge_key"), "src", "dst", "type", "resolution", "place")
-    open_ = facts.where("resolution <> 'resolved' and target is not null").select(F.sha2("_dst", 256).alias("key"), F.col("resolution").alias("kind"), F.col("target").alias("name"), F.lit("").alias("path"))
-    return own.select("key", "kind", "name", "path").unionByName(open_), edges
+    text = lambda *cols: F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))
+    of = lambda e: key_of(F.lit(repo), F.col(f"{e}.kind"), F.col("target"), F.col(f"{e}.path"))
+    parts = parts or int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a name's first and last entity are one if it has no other; no hash is shuffled for that
+    each = F.struct("kind", "path")
+    named = entities.where("name is not null").groupBy(F.col("name").alias("target")).agg(F.min(each).alias("low"), F.max(each).alias("high"))
+    index = cut(named.select("target", F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).alias("only"), F.lit(True).alias("known")))
+    asked = references.where("target is not null")
+    made = lambda rows: finish(rows).select("target", text(F.lit(repo), F.col("kind"), F.col("name"), F.col("path")).alias("_src"), "type", text(F.col("anchor")).alias("_anchor"), "place")
+    last = lambda rows: rows.groupBy("target", "_src", F.struct(text(F.col("type")).alias("type"), "_anchor").alias("_by")).agg(F.max_by(F.struct("type", "place"), F.struct("place")).alias("e"))
+    state = F.when(F.col("known").isNull(), "unresolved").when(F.col("only").isNull(), "ambiguous").otherwise("resolved")
+    found = lambda rows, facts: rows.join(facts, "target", "left").withColumn("resolution", state)
+    open_text = text(F.lit(repo), F.col("resolution"), F.col("target"), F.lit(""))
+
+    hot = hot_keys(targets.where("target is not null") if targets is not None else asked, "target")
+    rest = asked if hot is None else asked.join(F.broadcast(hot), "target", "left_anti")
+    edges = found(last(made(rest.repartition(parts, "target"))), index.repartition(parts, "target").hint("shuffle_hash")).sortWithinPartitions("target")
+    if hot is not None:
+        edges = edges.unionByName(found(last(made(asked.join(F.broadcast(hot), "target", "left_semi"))), F.broadcast(index.join(F.broadcast(hot), "target", "left_semi"))))
+    edges = edges.select("_src", "_by", F.when(F.col("resolution") == "resolved", of("only")).otherwise(F.sha2(open_text, 256)).alias("dst"), "e.type", "resolution", "e.place")
+    # where a name or a path has a separator in it, entities of two names may have one key
+    split = index.where("only is not null").where(F.concat_ws("", "only.kind", "target", "only.path").contains("|"))
+    if not split.groupBy(of("only")).count().where("count > 1").isEmpty():
+        edges = edges.groupBy("_src", "_by", "dst").agg(F.max_by(F.struct("type", "resolution", "place"), F.struct("place")).alias("e")).select("_src", "_by", "dst", "e.*")
+    edges = edges.withColumn("src", F.sha2("_src", 256))
+    edges = edges.select(key_of(F.col("src"), F.col("_by.type"), F.col("dst"), F.col("_by._anchor")).alias("edge_key"), "src", "dst", "type", "resolution", "place")
+
+    own = entities.select("kind", "name", "path").distinct().select(key_of(F.lit(repo), F.col("kind"), F.col("name"), F.col("path")).alias("key"), "kind", "name", "path")
+    open_ = found(asked.select("target").distinct(), index).where("resolution <> 'resolved'").select(F.sha2(open_text, 256).alias("key"), F.col("resolution").alias("kind"), F.col("target").alias("name"), F.lit("").alias("path"))
+    return own.unionByName(open_), edges
 
 
 def file_owners(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators import architecture as arch
 from corpuscle.plans.registry import query, read
+from corpuscle.shared import parts_for
 
 TYPE_SQL = "CASE o_orderstatus WHEN 'F' THEN 'module' WHEN 'O' THEN 'config' ELSE 'symbol' END"
 
@@ -32,9 +33,16 @@ full_ AS (SELECT sha256('repo|' || kind || '|' || name || '|' || path) AS src, C
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     text = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    own = read(spark, sf_dir, "orders").select("o_orderkey", F.lit("module").alias("kind"), text("m", "o_custkey").alias("name"), F.concat(text("src/", "o_orderkey"), F.lit(".py")).alias("path"))
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), text("m", "l_partkey").alias("target"), F.lit("imports").alias("type"), text("l", "l_linenumber").alias("anchor"), F.concat_ws(":", F.col("l_shipdate").cast("string"), F.col("l_suppkey").cast("string")).alias("place"))
-    return arch.build_graph(own.drop("o_orderkey"), lines.join(own, "o_orderkey").drop("o_orderkey"), "repo")
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    own = [F.lit("module").alias("kind"), text("m", "o_custkey").alias("name"), F.concat(text("src/", "o_orderkey"), F.lit(".py")).alias("path")]
+    target = text("m", "l_partkey").alias("target")
+    place = F.concat_ws(":", F.col("l_shipdate").cast("string"), F.col("l_suppkey").cast("string")).alias("place")
+    numbers = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber", "l_shipdate", "l_suppkey")
+    parts = parts_for(spark, numbers)
+    # lines are shuffled as numbers and become texts after that
+    both = numbers.repartition(parts, "o_orderkey").join(orders.select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey"), "o_orderkey")
+    finish = lambda rows: rows.select(*own, "target", F.lit("imports").alias("type"), text("l", "l_linenumber").alias("anchor"), place)
+    return arch.build_graph(orders.select(*own), both.withColumn("target", target).drop("l_partkey"), "repo", lines.select(target), parts, finish)
 
 
 @query("GRF01", f"WITH {NAMES_SQL}, k AS (SELECT *, sha256(src || '|' || type || '|' || dst || '|' || anchor) AS edge_key FROM full_) SELECT edge_key, src, dst, type, resolution, max(place) AS place FROM k GROUP BY ALL")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/HOT of all rows is joined by broadcast: at most HOT such keys exist.
 HOT = 10_000
+#: A key with fewer rows than this is not hot, however few rows there are.
+HOT_ROWS = 10_000
 #: A table up to this size whose files make too few tasks is dealt out to all cores.
 SPREAD_BYTES = 256 << 20
 #: Bytes of a table of texts whose words or phrases meet in one partition.
@@ -75,3 +77,20 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str,
     light = facts.where(F.col(weight) <= total / HOT).drop(weight)
     moved = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
     return rows.join(F.broadcast(heavy.drop(weight)), keys).unionByName(moved)
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys, at most HOT, with more than 1/HOT of the rows and more than HOT_ROWS; None if there are none.
+
+    Hashes are counted first, a few for each such key there may be, and only keys
+    whose hash has that many rows are counted themselves: no table of all keys is shuffled.
+    """
+    hashed = F.pmod(F.xxhash64(key), F.lit(4 * HOT)).cast("int")
+    sizes = cut(rows.groupBy(hashed.alias("_h")).agg(F.count("*").alias("_n")))
+    most = max((sizes.agg(F.sum("_n")).first()[0] or 0) / HOT, HOT_ROWS)
+    full = [r["_h"] for r in sizes.where(F.col("_n") > most).select("_h").collect()]  # at most HOT
+    if not full:
+        return None
+    wanted = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in full], "_h int"))
+    found = cut(rows.select(key, hashed.alias("_h")).join(wanted, "_h", "left_semi").groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key))
+    return None if found.isEmpty() else found

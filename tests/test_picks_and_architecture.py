@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpuscle import shared
 from corpuscle.functions import values
 from corpuscle.operators import architecture as arch
 from corpuscle.operators import picks
@@ -110,6 +111,38 @@ def test_edges_are_grouped_by_texts_and_not_by_hashes(spark):
     assert rows[2]["edge_key"] == hashlib.sha256("||".join([rows[2]["src"], rows[2]["dst"] + "|1"]).encode()).hexdigest()
 
 
+def loop_edges(entities, refs, repo="r"):
+    sha = lambda *parts: hashlib.sha256("|".join(str(p or "") for p in parts).encode()).hexdigest()
+    keys, last = {}, {}
+    for kind, name, path in sorted(set(entities)):
+        keys.setdefault(name, []).append(sha(repo, kind, name, path))
+    for kind, name, path, target, type_, anchor, place in refs:
+        same = keys.get(target, [])
+        state = "unresolved" if not same else "ambiguous" if len(same) > 1 else "resolved"
+        src, dst = sha(repo, kind, name, path), same[0] if len(same) == 1 else sha(repo, state, target, "")
+        key = sha(src, type_, dst, anchor)
+        last[key] = max(last.get(key, (key, src, dst, type_, state, -1)), (key, src, dst, type_, state, place), key=lambda e: e[5])
+    return sorted(last.values())
+
+
+def test_edges_of_a_target_lie_together_and_hot_targets_stay_where_they_are(spark, monkeypatch):
+    rng, kinds = random.Random(4), "kind string, name string, path string"
+    entities = [("m", f"n{rng.randrange(30)}", f"p{i}") for i in range(40)] + [("m", "x", "y|z"), ("m", "x|y", "z"), ("m", "u", "u|v")]
+    refs = [(*rng.choice(entities), rng.choice(["n1", f"n{rng.randrange(60)}", "x", "x|y", "u"]), rng.choice("ci"), str(rng.randrange(3)), i) for i in range(900)]
+    own, asked = spark.createDataFrame(entities, kinds), spark.createDataFrame(refs, kinds + ", target string, type string, anchor string, place int").repartition(3)
+    assert sorted(map(tuple, arch.build_graph(own, asked, "r")[1].collect())) == loop_edges(entities, refs)  # x and x|y have one key
+    entities, refs = [e for e in entities if e[1] != "x"], [r for r in refs if r[1] != "x" and r[3] != "x"]
+    own, asked = spark.createDataFrame(entities, kinds), spark.createDataFrame(refs, kinds + ", target string, type string, anchor string, place int").repartition(3)
+    rows = arch.build_graph(own, asked, "r", parts=3)[1].collect()
+    assert sorted(map(tuple, rows)) == loop_edges(entities, refs)
+    ends = [r["dst"] for r in rows]
+    assert sum(a != b for a, b in zip(ends, ends[1:], strict=False)) + 1 == len(set(ends))
+    monkeypatch.setattr(shared, "HOT_ROWS", 100)
+    assert [r["target"] for r in shared.hot_keys(asked.where("target <> 'u' and target <> 'x|y'"), "target").collect()] == ["n1"]
+    edges = arch.build_graph(own, asked, "r", asked.select("target"))[1]
+    assert sorted(map(tuple, edges.collect())) == loop_edges(entities, refs)
+
+
 def test_quality_over_nothing_is_null(spark):
     kind = "src string, type string, dst string, path string, start int, end int"
     made = spark.createDataFrame([("a", "calls", "b", "x", 3, None), ("a", "calls", "c", "x", 9, 12), ("a", "tests", "c", "x", 1, 1)], kind)
