@@ -57,6 +57,15 @@ def test_a_wrong_digest_is_damage_and_only_that_table_is_built_again(spark, tmp_
         store.load(spark, root)
 
 
+def test_stored_hashes_take_little_more_than_half_their_text(spark, tmp_path):
+    root, n = str(tmp_path), 20_000
+    hashes = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    store.publish({"a": hashes}, root)
+    folder = f"{root}/data/a/{1:012d}"
+    assert sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith("part-")) < 0.6 * 64 * n
+    assert rows(store.load(spark, root)[0]["a"]) == rows(hashes)
+
+
 def loop_retention(states, uses, records, keep, most):
     plan = {}
     for g in {s[0] for s in states} | {r[0] for r in records}:
